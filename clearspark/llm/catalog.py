@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clearspark.llm import decontaminate, quality_rules, token_counts, token_files
+from clearspark.llm import (
+    decontaminate,
+    jaccard_join,
+    knn_quality,
+    license_scan,
+    mixing,
+    quality_rules,
+    secrets_scan,
+    substring_dedup,
+    token_counts,
+    token_files,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,15 +40,45 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op3(_table(spark, sf_dir, "documents"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op4(_table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op5(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.op6(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op7(_table(spark, sf_dir, "documents"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op8(_table(spark, sf_dir, "documents"))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.op9(_table(spark, sf_dir, "documents"))
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op10(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1,
     "op2_token_counts": op2,
     "op3_quality_rules": op3,
+    "op4_substring_dedup": op4,
     "op5_token_files": op5,
+    "op6_knn_quality": op6,
+    "op7_license_scan": op7,
+    "op8_jaccard_join": op8,
+    "op9_secrets_scan": op9,
+    "op10_mixing": op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_license_scan": license_scan.oracle()}
