@@ -236,7 +236,8 @@ def _joined(members: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, component_id, and key, the digest of its set."""
+    """One row a row of docs: doc_id, row (a hash of its text), n_shingles, component_id, key (a digest of its
+    set), and first: whether it is the document that stands for its component (equal rows all are)."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("row", F.xxhash64("text"))
@@ -259,18 +260,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = dealt.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"), "key", "text")
     links = scratch.write(_joined(dealt, percent), "links")
     roots = components(links, scratch, "links_")
-    labelled = classes.join(roots, classes.key == roots.vertex, "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
+    labelled = classes.join(roots, classes.key == roots.vertex, "left").select(
+        "key", F.struct("doc_id", "row").alias("least"), F.coalesce("root", "key").alias("root")
+    )
     labelled = scratch.write(labelled, "labelled")
-    united = labelled.where("root is not null").groupBy("root").agg(F.nullif(F.min("doc_id"), F.lit(NULL_ID)).alias("component"))
+    united = labelled.groupBy("root").agg(F.min("least").alias("component"))
     of = labelled.join(united, "root").select("key", "component")
+    own = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "row")
     return described.join(of, "key", "left").select(
         "doc_id",
+        "row",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.nullif("component.doc_id", F.lit(NULL_ID))).alias("component_id"),
         "key",
+        (F.col("key").isNull() | (F.col("component") == own)).alias("first"),
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each component, that of the smallest id, and all without a word. Rows that are equal in id and text are one."""
+    found = jaccard_components(docs, id_col, text_col, percent).where("first")
+    kept = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_cs_id"), "row").withColumnRenamed("row", "_cs_row")
+    numbered = docs.withColumns({"_cs_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)), "_cs_row": F.xxhash64(text_col)})
+    return numbered.join(kept.distinct(), ["_cs_id", "_cs_row"], "left_semi").dropDuplicates(["_cs_id", "_cs_row"]).drop("_cs_id", "_cs_row")
+
+
 def op8(documents: DataFrame) -> DataFrame:
     return jaccard_components(documents).select("doc_id", "n_shingles", "component_id")
 

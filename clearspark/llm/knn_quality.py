@@ -182,5 +182,10 @@ def op6(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """docs without those that the classifier rejects."""
+    return score(docs, learn(docs, labels), text_col, "_cs_score").where(F.col("_cs_score") >= threshold).drop("_cs_score")
+
+
 def is_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2

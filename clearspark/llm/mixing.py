@@ -188,5 +188,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return rows.join(chosen, "row", "left").select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies"))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """docs with each row repeated as often as the mix takes it; rows it takes 0 times are left out."""
+    named = docs.withColumn("_cs_id", F.xxhash64(id_col, source_col, text_col))
+    taken = mix(named, "_cs_id", source_col, text_col, seed).where("copies > 0").select(F.col("doc_id").alias("_cs_id"), "copies")
+    # rows that are equal share an id: their copies are summed, and one of them carries all
+    taken = taken.groupBy("_cs_id").agg(F.sum("copies").alias("_cs_copies"))
+    rows = named.dropDuplicates(["_cs_id"]).join(taken, "_cs_id")
+    return rows.withColumn("_cs_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "_cs_copies"))).drop("_cs_id", "_cs_copies")
+
+
 def op10(documents: DataFrame) -> DataFrame:
     return mix(documents).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
