@@ -1,7 +1,7 @@
 """Token ids in Arrow stream files of fixed-size lists, and random access to them.
 
 A shard is one Arrow IPC file. Each record batch holds equal-length sequences: `ids`, a
-fixed-size list of unsigned 16- or 32-bit ids, and `mask`, a fixed-size list of 0/1 bytes (0 only in the
+fixed-size list of unsigned 16- or 32-bit ids, and `mask`, a fixed-size list of bits (0 only in the
 padding of a shard's last sequence). All values lie flat in one buffer, so sequence i of a batch is
 a zero-copy slice. The documents' places stand in a second file beside it.
 
@@ -37,15 +37,21 @@ LENGTH = 2048
 BATCH = 64
 #: The byte-level split pattern for ASCII text; an optional space leads each kind of run.
 ASCII_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-#: A space starts a chunk only before these bytes (bytes of other scripts' letters may be white space).
-SAFE = re.compile(rb" (?=[\x21-\x7e])")
-UNSAFE = re.compile(rb" (?![\x21-\x7e])")
+#: The same for texts whose other characters are letters of the blocks U+00C0 to U+024F (all but two are letters).
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+LATIN_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^ \t-\r{LATIN}0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+NOT_LATIN = re.compile(rf"[^\x00-\x7f{LATIN}]")
+#: A space starts a chunk only before these bytes: ASCII signs and first bytes of U+00C0 to U+027F, where no white space is.
+SAFE = re.compile(rb" (?=[\x21-\x7e\xc3-\xc9])")
+UNSAFE = re.compile(rb" (?![\x21-\x7e\xc3-\xc9])")
+#: Lines that can be encoded one by one: no white space at their ends, so the line break between is a pre-token.
+LINES = re.compile(rb"[^ \t-\r\x80-\xff](?:[^ \t-\r]*[^ \t-\r\x80-\xff])?(?:\n[^ \t-\r\x80-\xff](?:[^ \t-\r]*[^ \t-\r\x80-\xff])?)+")
 
 
 class Encoder(dict):
     """chunk (without its leading space) -> its ids as little-endian bytes, the library's model doing the work."""
 
-    def __init__(self, path: str, kind: str, most: int = 300_000):
+    def __init__(self, path: str, kind: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -53,30 +59,48 @@ class Encoder(dict):
         self.letters = byte_alphabet()
         self.table = {i: c for i, c in enumerate(self.letters)}
         self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        ids = np.arange(self.library.get_vocab_size(), dtype=self.kind)
+        self.bytes_of = [x.tobytes() for x in ids]
         self.pieces: dict[bytes, bytes] = {}
+        self.starts: dict[bytes, bytes] = {}
 
     def piece(self, piece: bytes) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            ids = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.table))]
-            got = np.array(ids, self.kind).tobytes()
+            got = b"".join([self.bytes_of[t.id] for t in self.model.tokenize(piece.decode("latin-1").translate(self.table))])
             if len(self.pieces) < self.most:
                 self.pieces[piece] = got
         return got
 
     def run(self, text: bytes) -> bytes:
         """Ids of any run of text that starts and ends where the library would cut too."""
-        if not text.isascii() or any(s in text for s in self.specials):
-            ids = self.library.encode(text.decode(), add_special_tokens=False).ids
-            return np.array(ids, self.kind).tobytes()
-        return b"".join([self.piece(p) for p in ASCII_PIECE.findall(text)])
+        if not any(s in text for s in self.specials):
+            if text.isascii():
+                return b"".join([self.piece(p) for p in ASCII_PIECE.findall(text)])
+            string = text.decode()
+            if not NOT_LATIN.search(string):
+                return b"".join([self.piece(p.encode()) for p in LATIN_PIECE.findall(string)])
+        ids = self.library.encode(text.decode(), add_special_tokens=False).ids
+        return np.array(ids, self.kind).tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
+        if b"\n" in chunk and LINES.fullmatch(chunk):
+            first, *rest = chunk.split(b"\n")
+            return b"".join([self[first], *(x for line in rest for x in (self.piece(b"\n"), self.bare(line)))])
         got = self.run(b" " + chunk)
         if len(self) < self.most:
             self[chunk] = got
         return got
 
+    def bare(self, chunk: bytes) -> bytes:
+        """Ids of a chunk without a space before it."""
+        got = self.starts.get(chunk)
+        if got is None:
+            got = self.run(chunk)
+            if len(self.starts) < self.most:
+                self.starts[chunk] = got
+        return got
+
     def encode(self, text: bytes | None) -> bytes:
         if not text:
             return b""
@@ -96,7 +120,7 @@ class ShardWriter:
     def __init__(self, sink, kind: str, length: int = LENGTH, batch: int = BATCH):
         value = pa.from_numpy_dtype(np.dtype(kind))
         self.kind, self.length, self.batch = np.dtype(kind), length, batch
-        self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = pa.ipc.new_file(sink, self.schema)
         self.parts: list[bytes] = []
         self.held = 0
@@ -115,8 +139,8 @@ class ShardWriter:
             part = flat[at : at + step]
             at += len(part)
             n = -(-len(part) // self.length) * self.length
-            mask = np.zeros(n, np.uint8)
-            mask[: len(part)] = 1
+            mask = np.zeros(n, bool)
+            mask[: len(part)] = True
             full = np.zeros(n, self.kind)
             full[: len(part)] = part
             arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (full, mask)]
@@ -147,7 +171,7 @@ class ShardReader:
         """Ids and mask of sequence i."""
         k, j = divmod(i, self.per_batch // self.length)
         got = self.file.get_batch(k)
-        return got.column("ids")[j].values.to_numpy(), got.column("mask")[j].values.to_numpy()
+        return got.column("ids")[j].values.to_numpy(), got.column("mask")[j].values.to_numpy(zero_copy_only=False)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         parts = []
