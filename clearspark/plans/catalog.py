@@ -1,11 +1,22 @@
-"""The registered queries: name -> callable, and name -> SQL that must give the same rows."""
+"""The registered queries: name -> callable, and name -> SQL that must give the same rows.
+
+Every query runs over whole tables and whole texts. The SQL computes by another route, or is the
+original of a round trip; it never restates the plan.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from clearspark import sources
+from clearspark.functions import codecs, text
+from clearspark.kernel.engine import POLICIES
+from clearspark.kernel.tables import EMOJI, MISSPELT, SHORTHAND
+from clearspark.operators import corpus, evaluate, evidence, scoring, spans
+from clearspark.operators.unmask import changed, names, unmask
 from clearspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,5 +25,590 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations: short texts with a key of their own."""
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", "role")
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.build_lexicon(_docs(spark, sf_dir).where("lang = 'en'"))
+
+
+def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.build_grams(_docs(spark, sf_dir).where("lang = 'en'"))
+
+
+def _n(column: Column) -> Column:
+    return column.cast("bigint")
+
+
+# Parts of the SQL
+
+WORDS = "regexp_extract_all(text, '[A-Za-z]+(?:[''’][A-Za-z]+)*')"
+LEX = """lex AS (SELECT word FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z]+(?:[''’][A-Za-z]+)*')) AS word
+  FROM documents WHERE lang = 'en') WHERE length(word) > 1 GROUP BY word HAVING count(*) >= 5)"""
+
+
+def known_sql(token: str) -> str:
+    bare = f"replace(lower({token}), '’', '''')"
+    return f"({bare} IN (SELECT word FROM lex) OR regexp_replace({bare}, '''s$', '') IN (SELECT word FROM lex))"
+
+
+PADDED = "' ' || trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) || ' '"
+GRAM = f"""g AS (SELECT doc_id, unnest(list_transform(range(1, length(p) - 2), lambda i: substring(p, i, 4))) AS gram FROM
+  (SELECT doc_id, lang, {PADDED} AS p FROM documents) WHERE length(trim(p)) >= 2 AND %s),"""
+TALK = "talk AS (SELECT conv_id * 1000 + turn AS doc_id, text, role FROM conversations)"
+
+
+# Tokens, lexicon, score
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[^\\s]+'))::BIGINT AS n_chunks, length(regexp_replace(text, '\\s+', '', 'g'))::BIGINT AS n_chars FROM documents")
+def chunk_stats(spark, sf_dir):
+    c = text.chunks(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(c).cast("bigint").alias("n_chunks"), F.length(F.array_join(c, "")).cast("bigint").alias("n_chars"))
+
+
+@query(f"SELECT doc_id, len({WORDS})::BIGINT AS n_tokens, coalesce(list_aggregate(list_transform({WORDS}, lambda x: length(x)), 'max'), 0)::BIGINT AS longest FROM documents")
+def tokens_per_doc(spark, sf_dir):
+    w = text.words(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(w).cast("bigint").alias("n_tokens"), F.coalesce(F.array_max(F.transform(w, F.length)), F.lit(0)).cast("bigint").alias("longest"))
+
+
+@query("SELECT word, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z]+(?:[''’][A-Za-z]+)*')) AS word FROM documents WHERE lang = 'en') WHERE length(word) > 1 GROUP BY word HAVING count(*) >= 5")
+def lexicon(spark, sf_dir):
+    return _lexicon(spark, sf_dir)
+
+
+@query(f"WITH {GRAM % "lang = 'en'"} c AS (SELECT gram, count(*) AS cnt FROM g GROUP BY gram) SELECT gram, cnt, (SELECT sum(cnt) FROM c)::BIGINT AS total FROM c WHERE cnt >= 3")
+def ngram4_counts(spark, sf_dir):
+    return _grams(spark, sf_dir)
+
+
+COVER = f"""tok AS (SELECT doc_id, unnest({WORDS}) AS token FROM documents),
+cov AS (SELECT doc_id, sum(CASE WHEN {known_sql('token')} THEN length(regexp_replace(token, '[''’]', '', 'g')) ELSE 0 END)::BIGINT AS covered,
+  sum(length(regexp_replace(token, '[''’]', '', 'g')))::BIGINT AS total FROM tok WHERE length(token) > 1 GROUP BY doc_id)"""
+FIT = f"""{GRAM % 'true'} eng AS (SELECT gram FROM g WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')),
+c AS (SELECT gram, count(*) AS cnt FROM eng GROUP BY gram), t AS (SELECT sum(cnt)::DOUBLE AS total FROM c),
+fit AS (SELECT doc_id, avg(CASE WHEN cnt >= 3 THEN log10(cnt / total) ELSE log10(0.5 / total) END) AS fit FROM g LEFT JOIN c USING (gram), t GROUP BY doc_id)"""
+
+
+@query(f"WITH {LEX}, {COVER} SELECT doc_id, covered, total FROM cov")
+def word_coverage(spark, sf_dir):
+    return scoring.coverage(_docs(spark, sf_dir), _lexicon(spark, sf_dir)).select("doc_id", _n(F.col("covered")).alias("covered"), _n(F.col("total")).alias("total"))
+
+
+@query(f"WITH {FIT} SELECT doc_id, round(fit, 5) AS fit FROM fit")
+def ngram_fit(spark, sf_dir):
+    return scoring.fit(_docs(spark, sf_dir), _grams(spark, sf_dir)).select("doc_id", F.round("fit", 5).alias("fit"))
+
+
+@query(f"""WITH {LEX}, {COVER}, {FIT} SELECT documents.doc_id, round(coalesce(CASE WHEN total > 0 AND fit IS NOT NULL THEN 0.5 * covered / total + 0.5 * least(1, greatest(0, (fit + 6.5) / 2.5)) END, 0), 4) AS score
+  FROM documents LEFT JOIN cov USING (doc_id) LEFT JOIN fit USING (doc_id)""")
+def english_score(spark, sf_dir):
+    found = scoring.english_score(_docs(spark, sf_dir), _lexicon(spark, sf_dir), _grams(spark, sf_dir))
+    return found.select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query(f"SELECT doc_id, coalesce(list_sum(list_transform(list_filter({WORDS}, lambda x: length(x) > 1), lambda x: length(x))), 0)::BIGINT AS n_letters FROM documents")
+def letter_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.letter_count(F.col("text")).cast("bigint").alias("n_letters"))
+
+
+# Scripts, spans to protect, predicates
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '\\p{Latin}'))::BIGINT AS latin, len(regexp_extract_all(text, '\\p{Greek}'))::BIGINT AS greek, len(regexp_extract_all(text, '\\p{Cyrillic}'))::BIGINT AS cyrillic, len(regexp_extract_all(text, '\\p{Han}'))::BIGINT AS han FROM documents")
+def script_profile(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", *(text.script_count(F.col("text"), s).cast("bigint").alias(s.lower()) for s in ("Latin", "Greek", "Cyrillic", "Han")))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(replace(text, 'a', chr(1072)), '\\p{L}+')) AS word FROM documents)
+SELECT doc_id, count(*)::BIGINT AS n_mixed FROM w WHERE regexp_matches(word, '\\p{Latin}') AND regexp_matches(word, '\\p{Cyrillic}') GROUP BY doc_id""")
+def mixed_script_words(spark, sf_dir):
+    """Words of two scripts once every a is the Cyrillic one."""
+    disguised = F.translate("text", "a", "а")
+    word = _docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(disguised, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    return word.where(text.mixed_script(F.col("word"))).groupBy("doc_id").agg(F.count("*").alias("n_mixed"))
+
+
+#: a few blocks, enough for the range join to be checked; the whole table is an input (sources.script_ranges)
+RANGES = ((0x41, 0x5A, "Latin"), (0x61, 0x7A, "Latin"), (0xC0, 0xD6, "Latin"), (0xD8, 0xF6, "Latin"), (0xF8, 0x24F, "Latin"), (0x370, 0x3FF, "Greek"), (0x400, 0x4FF, "Cyrillic"))
+
+
+@query(f"""WITH c AS (SELECT unicode(unnest(string_split(text, ''))) AS cp FROM documents), r(lo, hi, name) AS (VALUES {', '.join(map(str, RANGES))})
+SELECT coalesce(name, 'Unknown') AS script, count(*) AS n FROM c LEFT JOIN r ON cp BETWEEN lo AND hi GROUP BY 1""")
+def script_range_join(spark, sf_dir):
+    """Characters by script through the range join. Code points are counted before they are joined."""
+    ranges = spark.createDataFrame(RANGES, "lo int, hi int, name string")
+    points = _docs(spark, sf_dir).select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("k")).withColumn("cp", F.ascii("c"))
+    return spans.in_ranges(points, ranges).groupBy("script").agg(F.sum("k").alias("n"))
+
+
+@query("SELECT name, lo, hi FROM (VALUES ('a', 1, 9), ('a', 11, 12), ('b', 13, 30)) x(name, lo, hi)")
+def range_merge(spark, sf_dir):
+    rows = [(1, 5, "a"), (6, 9, "a"), (11, 12, "a"), (13, 20, "b"), (21, 30, "b")]
+    return spans.merged_ranges(spark.createDataFrame(rows, "lo int, hi int, name string")).select("name", "lo", "hi")
+
+
+_WITH = "text || ' see https://x.example/a?b=' || doc_id || ' and www.y.example/' || lang || ' or 123e4567-e89b-12d3-a456-426614174000'"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_WITH} AS text FROM documents)
+SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(?:https?|ftp)://[^\\s<>"'']+'))::BIGINT AS url, len(regexp_extract_all(text, '(?i)\\bwww\\.[^\\s<>"'']+'))::BIGINT AS www,
+  len(regexp_extract_all(text, '\\b[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+\\b'))::BIGINT AS email,
+  len(regexp_extract_all(text, '(?i)\\b[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}\\b'))::BIGINT AS uuid FROM d""")
+def protected_counts(spark, sf_dir):
+    """Spans with an address, by kind, with some put into each text."""
+    t = F.concat("text", F.lit(" see https://x.example/a?b="), F.col("doc_id").cast("string"), F.lit(" and www.y.example/"), "lang", F.lit(" or 123e4567-e89b-12d3-a456-426614174000"))
+    docs = _docs(spark, sf_dir).withColumn("text", t)
+    return docs.select("doc_id", *(text.protected_count(F.col("text"), k).cast("bigint").alias(k) for k in ("url", "www", "email", "uuid")))
+
+
+@query("""WITH d AS (SELECT doc_id, text || ' ~/a/b.txt C:\\x\\y #ff00aa ' || md5(doc_id::VARCHAR) AS text FROM documents)
+SELECT doc_id, 1::BIGINT AS windows_path, (1 + len(list_filter(regexp_extract_all(' ' || text, '(?:[^\\p{L}\\p{N}_]|^)(?:~|\\.{1,2})?/(?:[\\w.+-]+/)+'), lambda x: NOT contains(x, '~/a/'))))::BIGINT AS posix_path,
+  (1 + len(regexp_extract_all(text, '[^\\p{L}\\p{N}_&]#(?:[0-9a-f]{3}|[0-9a-f]{8})\\b')))::BIGINT AS colour,
+  len(list_filter(regexp_extract_all(text, '[0-9A-Za-z]+'), lambda x: regexp_full_match(x, '(?i)[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}')))::BIGINT AS hash FROM d""")
+def protected_by_context(spark, sf_dir):
+    """Spans that depend on what stands before them: paths, colours, hashes, one of each put into every text."""
+    t = F.concat("text", F.lit(" ~/a/b.txt C:\\x\\y #ff00aa "), F.md5(F.col("doc_id").cast("string")))
+    docs = _docs(spark, sf_dir).withColumn("text", t)
+    return docs.select("doc_id", *(text.protected_count(F.col("text"), k).cast("bigint").alias(k) for k in ("windows_path", "posix_path", "colour", "hash")))
+
+
+@query("SELECT doc_id, doc_id % 4 <> 1 AS readable, doc_id % 4 IN (1, 2) AS doubtful FROM documents")
+def clean_predicates(spark, sf_dir):
+    """Readable and doubtful texts, after a control character, a soft hyphen or nothing was added."""
+    added = F.when(F.col("doc_id") % 4 == 1, "\u0007").when(F.col("doc_id") % 4 == 2, "").otherwise("")
+    docs = _docs(spark, sf_dir).withColumn("t", F.concat("text", added))
+    odd = F.when(F.col("doc_id") % 4 == 2, F.concat("t", F.lit("\u200b"))).otherwise(F.col("t"))
+    return docs.select("doc_id", text.readable(F.col("t")).alias("readable"), text.doubtful(odd).alias("doubtful"))
+
+
+@query("SELECT CASE WHEN length(text) < 20 THEN 'under 20' WHEN length(text) < 60 THEN '20-59' WHEN length(text) < 150 THEN '60-149' ELSE '150 and more' END AS length_class, count(*) AS n FROM documents GROUP BY 1")
+def length_buckets(spark, sf_dir):
+    return _docs(spark, sf_dir).groupBy(text.length_class(F.col("text")).alias("length_class")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[^\\x00-\\x7f]') AS beyond_ascii, regexp_matches(text, '[A-Za-z][0-9@$!]|[0-9@$!][A-Za-z]') AS digits FROM documents")
+def trigger_bits(spark, sf_dir):
+    """The cheap test of what a text can hold at all."""
+    t = text.trigger(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", (t.bitwiseAND(1) > 0).alias("beyond_ascii"), (t.bitwiseAND(32) > 0).alias("digits"))
+
+
+# Round trips: disguise every document, undo it, and hold it against the original
+
+
+def _roundtrip(trick: str) -> None:
+    encode, decode = codecs.CODECS[trick]
+    floor = 16 if trick.startswith("base64") else 0  # shorter tokens are not taken for base64
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _docs(spark, sf_dir).where(F.octet_length("text") >= floor)
+        back = decode(encode(F.col("text"), F.col("doc_id")), F.col("doc_id"))
+        return docs.select("doc_id", F.md5(back).alias("digest"))
+
+    name = f"roundtrip_{trick.replace('-', '_')}"
+    query(f"SELECT doc_id, md5(text) AS digest FROM documents WHERE strlen(text) >= {floor}", name)(run)
+
+
+for _trick in codecs.CODECS:
+    _roundtrip(_trick)
+
+
+@query(f"SELECT conv_id * 1000 + turn AS doc_id, i - 1 AS recipe, md5(text) AS digest FROM conversations, range(1, {len(codecs.STACKS) + 1}) r(i) WHERE strlen(text) >= 16")
+def stacked_layers(spark, sf_dir):
+    """Two layers of disguise, undone layer by layer, for every recipe."""
+    talk = _talk(spark, sf_dir).where(F.octet_length("text") >= 16)
+    t, k = F.col("text"), F.col("doc_id")
+    each = F.array(*[F.struct(F.lit(i).cast("bigint").alias("recipe"), F.md5(codecs.unstack(codecs.stack(t, k, s), k, s)).alias("digest")) for i, s in enumerate(codecs.STACKS)])
+    return talk.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*")
+
+
+@query("SELECT doc_id, 'free prize inside' AS hidden FROM documents")
+def tag_hidden(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", codecs.tags_hidden(codecs.hide_tags(F.col("text"), "free prize inside")).alias("hidden"))
+
+
+@query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&')) AS digest
+FROM pages WHERE NOT regexp_matches(html, '&(?:#|apos;|amp;(?:lt|gt|quot|nbsp|amp);)')""")
+def entity_basic(spark, sf_dir):
+    """The entities of markup itself."""
+    pages = table(spark, sf_dir, "pages").where(~F.col("html").rlike("&(?:#|apos;|amp;(?:lt|gt|quot|nbsp|amp);)"))
+    return pages.select("page_id", F.md5(codecs.html_entity(F.col("html"))).alias("digest"))
+
+
+@query("SELECT doc_id, length(text) > 0 AND doc_id % 3 <> 1 AS decodes FROM documents")
+def percent_strict(spark, sf_dir):
+    """Percent escapes that are no UTF-8 decode to nothing, a stray sign and a plus stay."""
+    tail = F.when(F.col("doc_id") % 3 == 1, "%FF%FE").when(F.col("doc_id") % 3 == 2, "100% + %C3%A9").otherwise("%41%42")
+    back = codecs.url_percent(F.concat(F.regexp_replace("text", "%", ""), tail))
+    want = F.concat(F.regexp_replace("text", "%", ""), F.when(F.col("doc_id") % 3 == 2, "100% + é").otherwise("AB"))
+    return _docs(spark, sf_dir).select("doc_id", F.coalesce(back == want, F.lit(False)).alias("decodes"))
+
+
+# Choices between readings
+
+
+@query(f"""WITH {LEX}, {TALK}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS word FROM talk)
+SELECT doc_id, (doc_id % 25 + 1)::BIGINT AS shift FROM w WHERE word IN (SELECT word FROM lex) GROUP BY doc_id HAVING count(*) >= 12""")
+def caesar_best_shift(spark, sf_dir):
+    """Turns shifted by doc_id % 25 + 1: of all shifts back, that under which most distinct words are known."""
+    by = (F.col("doc_id") % 25 + 1).cast("int")
+    moved = F.col("text")
+    for k in range(1, 26):
+        moved = F.when(by == k, codecs.shift(F.col("text"), k)).otherwise(moved)
+    talk = _talk(spark, sf_dir).withColumn("text", moved)
+    words = talk.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)))).alias("word"))
+    tries = F.array(*[F.struct(F.lit(k).cast("bigint").alias("shift"), codecs.shift(F.col("word"), -k).alias("plain")) for k in range(1, 26)])
+    tried = words.select("doc_id", F.explode(tries).alias("x")).select("doc_id", "x.*")
+    known = tried.join(scoring.small(_lexicon(spark, sf_dir).select(F.col("word").alias("plain"))), "plain", "left_semi")
+    counted = known.groupBy("doc_id", "shift").agg(F.count("*").alias("n"))
+    return counted.groupBy("doc_id").agg(F.max(F.struct("n", -F.col("shift"))).alias("best")).where("best.n >= 12").select("doc_id", (-F.col("best")["col2"]).alias("shift"))
+
+
+@query(f"""WITH {LEX}, {TALK}, s AS (SELECT doc_id, text, 1 AS way FROM talk UNION ALL SELECT doc_id, reverse(text), 2 FROM talk),
+tok AS (SELECT doc_id, way, unnest({WORDS}) AS token FROM s),
+c AS (SELECT doc_id, way, sum(CASE WHEN {known_sql('token')} THEN length(token) ELSE 0 END) AS covered FROM tok WHERE length(token) > 1 GROUP BY ALL)
+SELECT a.doc_id, a.covered::BIGINT AS forward, b.covered::BIGINT AS backward, a.covered > b.covered AS reads_forward FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.way = 1 AND b.way = 2""")
+def reverse_judged(spark, sf_dir):
+    """Turns as they are and backwards: which covers more letters with words."""
+    talk, lex = _talk(spark, sf_dir), _lexicon(spark, sf_dir)
+    both = [scoring.coverage(t.withColumn("text", F.regexp_replace(c, "['’]", " ")), lex).select("doc_id", F.col("covered").alias(n)) for t, c, n in ((talk, F.col("text"), "forward"), (talk, F.reverse("text"), "backward"))]
+    return both[0].join(both[1], "doc_id").select("doc_id", _n(F.col("forward")).alias("forward"), _n(F.col("backward")).alias("backward"), (F.col("forward") > F.col("backward")).alias("reads_forward"))
+
+
+# Word rules as relations
+
+
+@query(f"""WITH {LEX}, d AS (SELECT doc_id, text FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM d)
+SELECT doc_id, count(*)::BIGINT AS n_accepted, sum(length(word))::BIGINT AS n_letters FROM w
+WHERE regexp_full_match(word, '[A-Za-z]{{4,}}') AND lower(word) IN (SELECT word FROM lex) AND word <> upper(word) GROUP BY doc_id""")
+def separator_join(spark, sf_dir):
+    """Words with signs between their letters, joined where that gives a word."""
+    docs = _docs(spark, sf_dir).withColumn("text", codecs.separate(F.col("text")))
+    found = evidence.separators(docs, _lexicon(spark, sf_dir)).where("accepted and strength = 'sure'")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_accepted"), F.sum(F.length("plain")).alias("n_letters"))
+
+
+@query()
+def leet_evidence(spark, sf_dir):
+    """Digits for letters: sure readings, and weak and unknown ones that the text's evidence carries."""
+    docs = _docs(spark, sf_dir).withColumn("text", codecs.leet(F.col("text")))
+    found = evidence.leet(docs, _lexicon(spark, sf_dir))
+    return found.groupBy("doc_id", "strength").agg(F.count("*").alias("n"), F.count_if("accepted").alias("n_accepted"))
+
+
+@query()
+def repeated_candidates(spark, sf_dir):
+    docs = _docs(spark, sf_dir).withColumn("text", codecs.stretch(F.col("text")))
+    return evidence.stretched(docs, _lexicon(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("accepted").alias("n_accepted"))
+
+
+_SAY = "CASE (doc_id % 4) WHEN 0 THEN 'pls call me l8r' WHEN 1 THEN 'c u at 4 pm' WHEN 2 THEN 'the MSG was sent' ELSE 'r u there' END"
+
+
+@query("""WITH x(k, ix, token, plain, strength, accepted) AS (VALUES (0, 0, 'pls', 'please', 'sure', true), (0, 3, 'l8r', 'later', 'sure', true), (1, 0, 'c', 'see', 'sure', true), (1, 1, 'u', 'you', 'sure', true),
+ (2, 1, 'MSG', 'message', 'unsure', false), (3, 0, 'r', 'are', 'sure', true), (3, 1, 'u', 'you', 'sure', true))
+SELECT doc_id, ix, token, CASE WHEN token = 'MSG' THEN 'Message' ELSE plain END AS plain, strength, accepted FROM documents, x WHERE doc_id % 4 = k""")
+def shorthand_rewrite(spark, sf_dir):
+    """Shorthand with its context, in sentences chosen by doc_id."""
+    say = F.expr(_SAY)
+    return evidence.shorthand(_docs(spark, sf_dir).select("doc_id", say.alias("text")))
+
+
+@query(f"""WITH {LEX}, x(k, ix, token, plain) AS (VALUES (0, 1, 'recieve', 'receive'), (1, 0, 'Teh', 'the'))
+SELECT doc_id, ix, token, plain, true AS accepted FROM documents, x WHERE doc_id % 2 = k AND lower(token) NOT IN (SELECT word FROM lex)""")
+def misspelling_listed(spark, sf_dir):
+    say = F.when(F.col("doc_id") % 2 == 0, "the recieve and of the").otherwise("Teh of the and")
+    return evidence.misspelt(_docs(spark, sf_dir).select("doc_id", say.alias("text")), _lexicon(spark, sf_dir))
+
+
+@query(f"""WITH {LEX}, w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{6,}}')) AS word FROM documents WHERE lang = 'en'),
+u AS (SELECT word FROM w WHERE word NOT IN (SELECT word FROM lex)),
+t AS (SELECT DISTINCT word, unnest(list_transform(range(1, length(word)), lambda i: CASE WHEN word[i] = word[i + 1] THEN word[1:i] || word[i + 2:] ELSE word[1:i - 1] || word[i + 1] || word[i] || word[i + 2:] END)) AS plain FROM u)
+SELECT word, min(plain) AS plain FROM t WHERE plain IN (SELECT word FROM lex) GROUP BY word HAVING count(*) = 1""")
+def misspelling_slips(spark, sf_dir):
+    """Unknown words that are one slip away from exactly one known word."""
+    words = _docs(spark, sf_dir).where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.col("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("word")).distinct()
+    return evidence.slips(words, _lexicon(spark, sf_dir))
+
+
+@query("""WITH x(k, ix, token, plain) AS (VALUES (0, 0, chr(127874), 'birthday'), (1, 0, chr(128273), 'key')) SELECT doc_id, ix, token, plain FROM documents, x WHERE doc_id % 3 = k""")
+def emoji_words(spark, sf_dir):
+    say = F.when(F.col("doc_id") % 3 == 0, "happy 🎂").when(F.col("doc_id") % 3 == 1, "the 🔑 fits").otherwise("pizza 🍕")
+    return evidence.emoji(_docs(spark, sf_dir).select("doc_id", say.alias("text")))
+
+
+@query(f"WITH v(v) AS (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in dict.fromkeys(EMOJI.values()))}) SELECT doc_id, v AS word, len(list_filter(string_split(text, ' '), lambda x: lower(x) = v))::BIGINT AS n FROM documents, v WHERE n > 0")
+def emojified_words(spark, sf_dir):
+    """Words that the emoji encoder replaced, counted by what stands there now."""
+    back = {v: k for k, v in reversed(EMOJI.items())}
+    word = F.create_map(*[F.lit(x) for v, k in back.items() for x in (k, v)])
+    parts = _docs(spark, sf_dir).select("doc_id", F.explode(F.split(codecs.emojify(F.col("text")), " ")).alias("p"))
+    return parts.select("doc_id", F.try_element_at(word, F.col("p")).alias("word")).where("word is not null").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, (len(list_filter(string_split(text, ' '), lambda x: lower(x) IN (" + ", ".join(f"'{v}'" for v in dict.fromkeys(SHORTHAND.values())) + ")))  + len(list_filter(string_split(text, ' '), lambda x: lower(x) IN (" + ", ".join(f"'{v}'" for v in SHORTHAND) + "))))::BIGINT AS n FROM documents")
+def shortened_words(spark, sf_dir):
+    """Listed short forms after the encoder replaced what they stand for."""
+    parts = F.split(codecs.shorten(F.col("text")), " ")
+    return _docs(spark, sf_dir).select("doc_id", F.size(F.filter(parts, lambda x: F.lower(x).isin(*SHORTHAND))).cast("bigint").alias("n"))
+
+
+@query("SELECT doc_id, (len(list_filter(string_split(text, ' '), lambda x: lower(x) IN (" + ", ".join(f"'{v}'" for v in dict.fromkeys(v for v in MISSPELT.values() if " " not in v and "'" not in v)) + "))) + len(list_filter(string_split(text, ' '), lambda x: lower(x) IN (" + ", ".join(f"'{k}'" for k in MISSPELT) + "))))::BIGINT AS n FROM documents")
+def misspelt_words(spark, sf_dir):
+    parts = F.split(codecs.misspell(F.col("text")), " ")
+    return _docs(spark, sf_dir).select("doc_id", F.size(F.filter(parts, lambda x: F.lower(x).isin(*MISSPELT))).cast("bigint").alias("n"))
+
+
+# Spans as relations
+
+
+@query(f"""WITH {LEX}, {TALK}, c AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\s]+')) AS chunk, generate_subscripts(regexp_extract_all(text, '[^\\s]+'), 1) - 1 AS ix FROM talk),
+t AS (SELECT doc_id, ix, bool_or(coalesce(length(tok) > 1 AND {known_sql('tok')} OR tok IN ('a', 'A', 'i', 'I'), false)) AS plain FROM
+  (SELECT doc_id, ix, unnest(CASE WHEN len({WORDS.replace('text', 'chunk')}) = 0 THEN [NULL] ELSE {WORDS.replace('text', 'chunk')} END) AS tok FROM c) GROUP BY ALL),
+r AS (SELECT *, ix - row_number() OVER (PARTITION BY doc_id, plain ORDER BY ix) AS run FROM t)
+SELECT doc_id, min(ix)::BIGINT AS first, max(ix)::BIGINT AS last, count(*)::BIGINT AS n FROM r WHERE NOT plain GROUP BY doc_id, run""")
+def foreign_runs(spark, sf_dir):
+    """Runs of neighbouring chunks without a known word."""
+    talk = _talk(spark, sf_dir).select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("ix", "chunk"))
+    tokens = talk.select("doc_id", "ix", F.explode_outer(text.words(F.col("chunk"))).alias("token"))
+    flagged = scoring.known_tokens(tokens, _lexicon(spark, sf_dir)).groupBy("doc_id", "ix").agg((~F.coalesce(F.bool_or("known"), F.lit(False))).alias("foreign"))
+    return spans.islands(flagged, "foreign").select("doc_id", *(F.col(c).cast("bigint").alias(c) for c in ("first", "last", "n")))
+
+
+@query("""WITH e AS (SELECT event_id % 500 AS doc_id, (event_id * 7 % 1000)::INT AS start, event_id FROM events),
+c AS (SELECT doc_id, start, start + 20 AS "end", event_id FROM e WHERE event_id % 2 = 0), k AS (SELECT doc_id, start, start + 15 AS "end" FROM e WHERE event_id % 2 = 1)
+SELECT count(*) AS n, sum(event_id)::BIGINT AS ids FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = c.doc_id AND k.start < c."end" AND c.start < k."end")""")
+def overlap_antijoin(spark, sf_dir):
+    """Candidates that overlap nothing protected. Even events propose, odd ones protect."""
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("doc_id"), (F.col("event_id") * 7 % 1000).cast("int").alias("start"), "event_id")
+    proposed = e.where("event_id % 2 = 0").withColumn("end", F.col("start") + 20)
+    kept = e.where("event_id % 2 = 1").withColumn("end", F.col("start") + 15)
+    return spans.without_overlap(proposed, kept).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query()
+def greedy_select(spark, sf_dir):
+    """Of each user's spans the heaviest first, none that overlaps a chosen one."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 20).alias("doc_id"), (F.col("event_id") * 13 % 200).cast("int").alias("start"), "value")
+    each = e.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("value").alias("weight"), "start", (F.col("start") + 15).alias("end"))).alias("all"))  # 20 a group
+    return each.select("doc_id", F.explode(spans.greedy(F.col("all"))).alias("x")).select("doc_id", "x.*")
+
+
+@query("""WITH m AS (SELECT doc_id, unnest(range(1, len(string_split(text, '*')))) AS k, string_split(text, '*') AS p FROM documents)
+SELECT doc_id, list_sum(list_transform(p[1:k], lambda x: length(x) + 1))::BIGINT - 1 AS start, list_sum(list_transform(p[1:k], lambda x: length(x) + 3))::BIGINT - 3 AS at FROM m""")
+def offset_shift(spark, sf_dir):
+    """Each asterisk becomes three signs: where every edit lands once those to its left are applied."""
+    parts = F.split("text", r"\*")
+    cut = _docs(spark, sf_dir).select("doc_id", F.posexplode(parts).alias("ix", "part"))
+    w = Window.partitionBy("doc_id").orderBy("ix")
+    placed = cut.withColumn("start", F.sum(F.length("part") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).withColumn("more", F.lead("ix").over(w)).where("more is not null")
+    edits = placed.select("doc_id", F.col("start").cast("bigint").alias("start"), (F.col("start") + 1).alias("end"), F.lit("***").alias("after"))
+    return spans.shifted(edits).select("doc_id", "start", _n(F.col("at")).alias("at"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\s]+')) AS token, generate_subscripts(regexp_extract_all(text, '[^\\s]+'), 1) AS ix FROM documents)
+SELECT count(*) AS n_same FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.ix = a.ix + 1 AND lower(a.token) = lower(b.token)""")
+def token_neighbours(spark, sf_dir):
+    """Chunks that repeat the one before."""
+    w = Window.partitionBy("doc_id").orderBy("ix")
+    cut = _docs(spark, sf_dir).select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("ix", "token"))
+    return cut.withColumn("before", F.lag("token").over(w)).agg(F.count_if(F.lower("before") == F.lower("token")).alias("n_same"))
+
+
+# Levels, policies, splits, samples, duplicates
+
+
+_KIND = "['base64', 'leetspeak', 'shorthand', 'homoglyph', 'rot13']"
+
+
+@query(f"""WITH d AS (SELECT doc_id, [{_KIND}[doc_id % 5 + 1], {_KIND}[doc_id // 5 % 5 + 1]] AS tricks FROM documents)
+SELECT doc_id, NOT list_has_any(tricks, ['leetspeak', 'homoglyph', 'shorthand']) AS conservative, NOT list_contains(tricks, 'shorthand') AS balanced, true AS aggressive FROM d""")
+def level_gate(spark, sf_dir):
+    """Whether each level is expected to undo a document's two tricks."""
+    kinds = F.array(*map(F.lit, ("base64", "leetspeak", "shorthand", "homoglyph", "rot13")))
+    pick = lambda c: F.element_at(kinds, (c % 5 + 1).cast("int"))
+    tricks = F.array(pick(F.col("doc_id")), pick(F.floor(F.col("doc_id") / 5)))
+    return _docs(spark, sf_dir).select("doc_id", *(evaluate.in_scope(tricks, level).alias(level) for level in evaluate.LEVELS))
+
+
+@query(f"""WITH {LEX}, {COVER}, {FIT}, s AS (SELECT doc_id, 0.5 * covered / total + 0.5 * least(1, greatest(0, (fit + 6.5) / 2.5)) AS score, total FROM cov JOIN fit USING (doc_id) WHERE total > 0)
+SELECT doc_id, round(score, 3) >= 0.5 AND round(score, 3) - 0.2 >= 0.3 AND total >= 8 AS balanced, round(score, 3) >= 0.45 AND round(score, 3) - 0.2 >= 0.25 AND total >= 6 AS aggressive FROM s""")
+def policy_accept(spark, sf_dir):
+    """Which policies would accept a document as the result of a text that scores 0.2."""
+    docs, lex = _docs(spark, sf_dir), _lexicon(spark, sf_dir)
+    scored = scoring.english_score(docs, lex, _grams(spark, sf_dir)).join(scoring.coverage(docs, lex), "doc_id")
+    score = F.round("score", 3)
+    accept = lambda level: (score >= POLICIES[level][0]) & (score - 0.2 >= POLICIES[level][1]) & (F.col("total") >= POLICIES[level][2])
+    return scored.select("doc_id", accept("balanced").alias("balanced"), accept("aggressive").alias("aggressive"))
+
+
+@query("""WITH s AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS k FROM documents)
+SELECT source, doc_id, n::BIGINT AS n FROM s WHERE k = 1""")
+def best_candidate(spark, sf_dir):
+    """The heaviest of each group; of equals the first."""
+    docs = _docs(spark, sf_dir).select("source", "doc_id", F.length("text").cast("bigint").alias("n"))
+    return docs.groupBy("source").agg(F.max(F.struct("n", -F.col("doc_id"))).alias("b")).select("source", (-F.col("b")["col2"]).alias("doc_id"), "b.n")
+
+
+@query("SELECT doc_id, CASE WHEN ('0x' || sha256(source || '/' || doc_id)[1:2])::INT % 2 = 0 THEN 'dev' ELSE 'test' END AS split FROM documents")
+def hash_split(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.hash_split(F.concat_ws("/", "source", F.col("doc_id").cast("string"))).alias("split"))
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY sha256('20261008' || doc_id), doc_id LIMIT 100")
+def seeded_sample(spark, sf_dir):
+    """A hundred documents, drawn by hash."""
+    return corpus.seeded_sample(_docs(spark, sf_dir), "doc_id", 100, "20261008").select("doc_id", "source")
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents WHERE regexp_replace(lower(text), '[^a-z0-9]', '', 'g') <> '' GROUP BY regexp_replace(lower(text), '[^a-z0-9]', '', 'g')")
+def first_of_duplicates(spark, sf_dir):
+    """The first of the texts that differ in capitals, spaces and signs only."""
+    return corpus.first_of(_docs(spark, sf_dir), F.sha2(F.nullif(F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""), F.lit("")), 256), "doc_id").select("doc_id")
+
+
+@query("""SELECT doc_id, len(list_filter(string_split(source, ''), lambda x: x NOT IN ('s', 'r', 'c'))) = 0 AS subset,
+  array_to_string(list_sort(list_filter(string_split(lang, ''), lambda x: contains('kernel', x))), '') AS both FROM documents""")
+def step_sets(spark, sf_dir):
+    """Subset tests and intersections of names."""
+    letters = lambda c: F.split(F.col(c), "")
+    allowed = F.array(*map(F.lit, "src"))
+    both = F.array_sort(F.array_intersect(letters("lang"), F.array(*map(F.lit, "kernel"))))
+    return _docs(spark, sf_dir).select("doc_id", (F.size(F.array_except(letters("source"), allowed)) == 0).alias("subset"), F.array_join(both, "").alias("both"))
+
+
+@query("""WITH s AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '[^\\x01]+'), lambda x: x <> '')) AS unit FROM documents)
+SELECT doc_id, count(DISTINCT unit)::BIGINT AS n FROM s WHERE length(unit) BETWEEN 8 AND 300 AND regexp_matches(unit, '[^\\s]\\s+[^\\s]') GROUP BY doc_id""")
+def corpus_units(spark, sf_dir):
+    """Distinct sentences of fitting length."""
+    one = _docs(spark, sf_dir).select("doc_id", F.explode(corpus.simple_sentences(F.col("text"))).alias("unit"))
+    fit = one.where(F.length("unit").between(8, 300) & F.col("unit").rlike(r"\S\s+\S"))
+    return fit.distinct().groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def sentence_split(spark, sf_dir):
+    """Sentences by the exact rule."""
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(corpus.sentences(F.col("text"))).alias("ix", "sentence"))
+
+
+@query()
+def html_paragraphs(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.posexplode(sources.html_paragraphs(F.col("html"))).alias("ix", "paragraph"))
+
+
+# Scores of outcomes
+
+
+_FACT = "SELECT doc_id, lang, source, CASE doc_id % 3 WHEN 0 THEN 'whole' WHEN 1 THEN 'partial' ELSE 'stacked' END AS mode, doc_id % 7 <> 0 AS recovered FROM documents"
+
+
+@query(f"""WITH f AS ({_FACT}) SELECT lang, source, mode, count(recovered) AS total, sum(recovered::INT)::BIGINT AS hits, grouping(lang, source, mode)::BIGINT AS gid, round(sum(recovered::INT) / count(recovered), 6) AS rate
+FROM f GROUP BY GROUPING SETS ((), (lang), (source), (mode), (mode, lang))""")
+def tally_grouping_sets(spark, sf_dir):
+    """Recovery by category, origin, mode and mode with category in one pass."""
+    mode = F.when(F.col("doc_id") % 3 == 0, "whole").when(F.col("doc_id") % 3 == 1, "partial").otherwise("stacked")
+    facts = _docs(spark, sf_dir).select("lang", "source", mode.alias("mode"), (F.col("doc_id") % 7 != 0).alias("recovered"))
+    found = evaluate.tallies(facts.select("lang", "source", "mode", "recovered"), "recovered", (), ("lang",), ("source",), ("mode",), ("mode", "lang"))
+    order = F.when(F.col("lang").isNull(), 4).otherwise(0) + F.when(F.col("source").isNull(), 2).otherwise(0) + F.when(F.col("mode").isNull(), 1).otherwise(0)
+    return found.select("lang", "source", "mode", "total", "hits", order.cast("bigint").alias("gid"), F.round("rate", 6).alias("rate"))
+
+
+@query("""WITH d AS (SELECT doc_id, [['base64', 'hex', 'caesar'][doc_id % 3 + 1]] AS gold, CASE WHEN doc_id % 5 = 0 THEN [] WHEN doc_id % 5 = 1 THEN ['hex'] ELSE [['base64', 'hex', 'caesar'][doc_id % 3 + 1]] END AS found FROM documents),
+n AS (SELECT unnest(['base64', 'hex', 'caesar']) AS name),
+c AS (SELECT name, count(*) FILTER (list_contains(gold, name) AND list_contains(found, name)) AS n_right, count(*) FILTER (NOT list_contains(gold, name) AND list_contains(found, name)) AS n_wrong, count(*) FILTER (list_contains(gold, name) AND NOT list_contains(found, name)) AS n_missed FROM d, n GROUP BY name)
+SELECT name, n_right, n_wrong, n_missed, round(n_right / (n_right + n_wrong), 6) AS precision, round(n_right / (n_right + n_missed), 6) AS recall FROM c""")
+def precision_recall(spark, sf_dir):
+    gold = F.array(F.element_at(F.array(F.lit("base64"), F.lit("hex"), F.lit("caesar")), (F.col("doc_id") % 3 + 1).cast("int")))
+    found = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 5 == 1, F.array(F.lit("hex"))).otherwise(gold)
+    rows = evaluate.precision_recall(_docs(spark, sf_dir).select(gold.alias("gold"), found.alias("found")))
+    return rows.select("name", "n_right", "n_wrong", "n_missed", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"""WITH {TALK}, a AS (SELECT role, regexp_replace(text, '[^\\x00-\\x7f]', '', 'g') AS t FROM talk), b AS (SELECT role, t, replace(replace(t, 'e', '3'), 'th', 't') AS o FROM a)
+SELECT role, round(avg(least(1.0, levenshtein(o, t) / greatest(length(t), 1))), 6) AS mean_error, sum(levenshtein(o, t))::BIGINT AS edits FROM b GROUP BY role""")
+def char_error(spark, sf_dir):
+    """Mean character error of a poor system by role."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7f]", "")
+    rows = _talk(spark, sf_dir).select("role", plain.alias("t")).withColumn("o", F.replace(F.replace("t", F.lit("e"), F.lit("3")), F.lit("th"), F.lit("t")))
+    far = F.levenshtein("o", "t")
+    return rows.groupBy("role").agg(F.round(F.avg(F.least(F.lit(1.0), far / F.greatest(F.length("t"), F.lit(1)))), 6).alias("mean_error"), _n(F.sum(far)).alias("edits"))
+
+
+@query("SELECT median(value)::DOUBLE AS median, quantile_disc(value, 0.95)::DOUBLE AS p95, max(value)::DOUBLE AS largest FROM events")
+def latency_quantiles(spark, sf_dir):
+    return evaluate.latency(table(spark, sf_dir, "events"), "value")
+
+
+@query("""WITH e AS (SELECT date_trunc('hour', ts) AS h, event_type FROM events) SELECT h AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_error FROM e GROUP BY h""")
+def hourly_rate(spark, sf_dir):
+    """The stream's window counts, over a finished stream."""
+    e = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("n_error"))
+    return e.select(F.col("w.start").alias("window_start"), "n", "n_error")
+
+
+# The kernel
+
+
+def _disguised(docs: DataFrame) -> DataFrame:
+    """Each text under one of six disguises, by doc_id."""
+    tricks = ("base64", "hex", "rot13", "zero-width", "fullwidth", "url-percent")
+    t, k = F.col("text"), F.col("doc_id")
+    out, trick = t, F.lit(None)
+    for i, name in enumerate(tricks):
+        here = F.pmod(k, F.lit(len(tricks))) == i
+        out, trick = F.when(here, codecs.CODECS[name][0](t, k)).otherwise(out), F.when(here, name).otherwise(trick)
+    return docs.withColumns({"expected": t, "trick": trick, "text": out})
+
+
+def _resources(spark: SparkSession, sf_dir: str):
+    """Words and sequences of all documents: what is clean here is invented prose of four languages."""
+    docs = _docs(spark, sf_dir)
+    # -5.4 and -3.9: mean fits of shifted and of clean prose with this table of sequences
+    return scoring.resources(scoring.build_lexicon(docs, 2), scoring.build_grams(docs), gibberish=-5.4, english=-3.9)
+
+
+@query()
+def kernel_recovery(spark, sf_dir):
+    """Turns of conversations under six disguises, undone by the kernel: recovery and right steps by trick."""
+    undone = unmask(_disguised(_talk(spark, sf_dir)), _resources(spark, sf_dir))
+    right = F.array_contains(names(F.col("result.steps")), F.col("trick"))
+    return undone.groupBy("trick").agg(F.count("*").alias("n"), F.count_if(F.col("result.text") == F.col("expected")).alias("n_recovered"), F.count_if(right).alias("n_right_step"))
+
+
+@query()
+def kernel_steps(spark, sf_dir):
+    """Every step the kernel takes on disguised turns."""
+    undone = unmask(_disguised(_talk(spark, sf_dir)), _resources(spark, sf_dir))
+    return undone.select("doc_id", F.posexplode("result.steps").alias("ix", "s")).select("doc_id", "ix", "s.transform", "s.start", "s.end", "s.confidence")
+
+
+@query("SELECT conv_id * 1000 + turn AS doc_id, false AS changed, true AS same FROM conversations")
+def kernel_clean(spark, sf_dir):
+    """Clean turns must come back as they are."""
+    undone = unmask(_talk(spark, sf_dir), _resources(spark, sf_dir))
+    return undone.select("doc_id", changed(F.col("result")).alias("changed"), (F.col("result.text") == F.col("text")).alias("same"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").count()
+    return kernel_recovery(spark, sf_dir)
