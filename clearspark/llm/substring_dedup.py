@@ -33,8 +33,8 @@ from clearspark.llm.common import WordHashes, rolling, space_words, text_bytes
 WINDOW = 13
 NULL_ID = np.iinfo(np.int64).max
 CHUNK_WINDOWS = 1 << 20
-BUCKET_WINDOWS = 1 << 18
-GROUP_BYTES = 4 << 20
+BUCKET_WINDOWS = 1 << 21
+GROUP_BYTES = 8 << 20
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -93,15 +93,15 @@ class Windows:
         return a, b & self.most
 
 
-def _by_doc(docs: np.ndarray, hashes: np.ndarray, extra: np.ndarray, groups: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """Decided windows, packed for the groups of their documents."""
+def _by_doc(docs: np.ndarray, hashes: np.ndarray, extra: np.ndarray, groups: int, extra_bytes: int) -> Iterator[tuple[int, bytes]]:
+    """Decided windows, packed for the groups of their documents. The hashes come sorted."""
     group = _group(docs, groups)
-    order = np.lexsort((docs, group))
+    order = np.argsort(group, kind="stable")
     docs, hashes, extra, group = docs[order], hashes[order], extra[order], group[order]
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(group)], strict=True):
         if b > a:
-            yield int(group[a]), docs[a:b].tobytes(), hashes[a:b].tobytes(), extra[a:b].tobytes()
+            yield int(group[a]), pack(hashes[a:b], extra[a:b], docs[a:b], extra_bytes)
 
 
 def _group(docs: np.ndarray, groups: int) -> np.ndarray:
@@ -111,12 +111,12 @@ def _group(docs: np.ndarray, groups: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
 
 
-SENT = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("docs", pa.binary()), ("hashes", pa.binary()), ("extra", pa.binary())])
-DECIDED = pa.schema([("grp", pa.int64()), ("docs", pa.binary()), ("hashes", pa.binary()), ("extra", pa.binary())])
+SENT = pa.schema([("bucket", pa.int64()), ("packed", pa.binary())])
+DECIDED = pa.schema([("grp", pa.int64()), ("packed", pa.binary())])
 
 
 def duplicates(docs: DataFrame, window: int, extra_bytes: int, buckets: int, groups: int) -> DataFrame:
-    """Windows to remove, by group of documents: (grp, docs, hashes, extra), packed. docs: doc_id, text."""
+    """Windows to remove, by group of documents: (grp, packed). docs: doc_id, text."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Windows(window, extra_bytes)
@@ -132,16 +132,13 @@ def duplicates(docs: DataFrame, window: int, extra_bytes: int, buckets: int, gro
             new = np.r_[True, (hashes[1:] != hashes[:-1]) | (extra[1:] != extra[:-1])]
             first = np.repeat(owner[new], np.diff(np.r_[np.flatnonzero(new), len(new)]))
             own = ~new & (owner > first) & np.r_[True, (owner[1:] != owner[:-1]) | new[1:]]  # decided here
-            rows = [
-                {"bucket": -1 - g, "packed": None, "docs": d, "hashes": h, "extra": e}
-                for g, d, h, e in _by_doc(owner[own], hashes[own], extra[own], groups)
-            ]
+            rows = [{"bucket": -1 - g, "packed": x} for g, x in _by_doc(owner[own], hashes[own], extra[own], groups, extra_bytes)]
             # of windows that later stay or go elsewhere, each is sent with its smallest document
             hashes, extra, owner = hashes[new], extra[new], owner[new]
             bounds = np.searchsorted(hashes, _edges(buckets))
             for b, (x, y) in enumerate(zip(np.r_[0, bounds], np.r_[bounds, len(hashes)], strict=True)):
                 if y > x:
-                    rows.append({"bucket": b, "packed": pack(hashes[x:y], extra[x:y], owner[x:y], extra_bytes), "docs": None, "hashes": None, "extra": None})
+                    rows.append({"bucket": b, "packed": pack(hashes[x:y], extra[x:y], owner[x:y], extra_bytes)})
             return pa.RecordBatch.from_pylist(rows, SENT)
 
         for batch in batches:
@@ -158,7 +155,7 @@ def duplicates(docs: DataFrame, window: int, extra_bytes: int, buckets: int, gro
 
     def decide(key, table):
         if key[0].as_py() < 0:  # decided in its chunk
-            return table.select(["docs", "hashes", "extra"]).add_column(0, "grp", pa.array([-1 - key[0].as_py()] * len(table), pa.int64()))
+            return table.select(["packed"]).add_column(0, "grp", pa.array([-1 - key[0].as_py()] * len(table), pa.int64()))
         parts = [unpack(x, extra_bytes) for x in table.column("packed").to_pylist()]
         hashes, extra, owner = (np.concatenate([p[k] for p in parts]) for k in range(3))
         order = np.lexsort((owner, extra, hashes))
@@ -167,11 +164,11 @@ def duplicates(docs: DataFrame, window: int, extra_bytes: int, buckets: int, gro
         first = np.repeat(owner[new], np.diff(np.r_[np.flatnonzero(new), len(new)]))
         # a chunk has sent only its smallest document: those of its others are decided by their own chunk
         own = owner > first
-        rows = [dict(zip(("grp", "docs", "hashes", "extra"), x, strict=True)) for x in _by_doc(owner[own], hashes[own], extra[own], groups)]
+        rows = [{"grp": g, "packed": x} for g, x in _by_doc(owner[own], hashes[own], extra[own], groups, extra_bytes)]
         return pa.Table.from_pylist(rows, DECIDED)
 
-    sent = docs.mapInArrow(send, "bucket bigint, packed binary, docs binary, hashes binary, extra binary")
-    return sent.groupBy("bucket").applyInArrow(decide, "grp bigint, docs binary, hashes binary, extra binary")
+    sent = docs.mapInArrow(send, "bucket bigint, packed binary")
+    return sent.groupBy("bucket").applyInArrow(decide, "grp bigint, packed binary")
 
 
 def _edges(buckets: int) -> np.ndarray:
@@ -193,8 +190,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     size = text_bytes(docs, "text")
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // BUCKET_WINDOWS + 1)
-    groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // GROUP_BYTES + 1)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, groups = max(least, size // 6 // BUCKET_WINDOWS + 1), max(least, size // GROUP_BYTES + 1)
     decided = duplicates(docs, window, extra_bytes, buckets, groups)
 
     @F.arrow_udf("bigint")
@@ -202,8 +199,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         return pa.array(_group(ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64), groups))
 
     def cut(key, texts, removed):
-        columns = [b"".join(removed.column(c).to_pylist()) for c in ("docs", "hashes", "extra")]
-        owner, hashes, extra = (np.frombuffer(x, k) for x, k in zip(columns, ("<i8", "<u8", "<u8"), strict=True))
+        parts = [unpack(x, extra_bytes) for x in removed.column("packed").to_pylist()] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        hashes, extra, owner = (np.concatenate([p[k] for p in parts]) for k in range(3))
         order = np.argsort(owner, kind="stable")
         owner, hashes, extra = owner[order], hashes[order], extra[order]
         hasher = Windows(window, extra_bytes)
