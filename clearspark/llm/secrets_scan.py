@@ -5,10 +5,10 @@ runs of credential characters with a digit. Both are short, so they are written
 and texts are not read again. The base secrets are labelled credentials: for each kind, at most
 `sample` distinct values (those of smallest hash; a documented bound) become a prefix tree over
 character classes, and statistically compatible states are merged (Hoeffding bound, red and blue
-states) into a probabilistic automaton. A fourth automaton is learnt from other candidates in the same
-way, as the background. Pass 2 scores every candidate: it is a secret of the kind whose automaton
-gives it at least the likelihood a character that nearly all of the kind's own values reach, and a clear
-margin over the background.
+states) into a probabilistic automaton. Pass 2 scores every candidate: it is a secret if an automaton gives it
+at least the likelihood a character that nearly all of the kind's own values reach, and makes it clearly likelier
+(by `margin`, a log-odds) than the background does: the character classes of those (at most `sample`) other
+candidates that no automaton finds typical.
 
 Defined cases: null text is empty; matches that touch or overlap, of several kinds, all count;
 a kind without values has no automaton and adds nothing; rows are judged one by one.
@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -181,14 +181,24 @@ class Automaton:
 
 
 class Grammars:
-    def __init__(self, labelled: dict[int, list[str]], other: list[str], margin: float = 0.25):
+    """Automata of the kinds, and class frequencies of the candidates that none of them finds typical."""
+
+    def __init__(self, labelled: dict[int, list[str]], other: list[str], margin: float = 2.0):
         self.kinds = {k: Automaton(v) for k, v in sorted(labelled.items()) if v}
-        self.other = Automaton(other) if other else None
         self.margin = margin
+        rest = [v for v in other if not any(a.likelihood(v) >= a.floor for a in self.kinds.values())]
+        self.counts = Counter(name for v in rest for name, _ in symbols(v))
+        self.total = sum(self.counts.values())
+
+    def background(self, value: str) -> float:
+        """Log-likelihood of the value from single character classes; low without any background."""
+        if not self.total:
+            return -math.inf
+        return sum(math.log((self.counts[name] + 0.5) / (self.total + 20)) - within for name, within in symbols(value))
 
     def accepts(self, value: str) -> bool:
-        rest = self.other.likelihood(value) if self.other else -10.0
-        return any((x := a.likelihood(value)) >= a.floor and x >= rest + self.margin for a in self.kinds.values())
+        rest = self.background(value)
+        return any((x := a.likelihood(value)) >= a.floor and len(value) * x - rest >= self.margin for a in self.kinds.values())
 
 
 def learn(found: DataFrame, sample: int) -> Grammars:
