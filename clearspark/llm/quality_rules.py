@@ -2,8 +2,8 @@
 
 Each rule looks at counts of one document and votes good (1), bad (0) or abstains (-1). Expectation
 maximisation over all documents' votes estimates, without labels, how often each rule gives each
-vote for good and for bad documents; a document's posterior probability of being good then decides,
-instead of a demand that every rule passes.
+vote for good documents and for each kind of bad ones; a document's posterior probability of being good then
+decides, instead of a demand that every rule passes.
 
 Python counts words and windows per document (one pass, nothing shuffled). The counts, a few numbers
 a row, are written to the shared folder, so that the second pass does not read texts again. Vote
@@ -30,7 +30,7 @@ from clearspark.llm.common import Scratch, space_words
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
-FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_same_next", "n_lines", "n_upper", "n_letters", "n_long")
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_same_next", "n_lines", "n_upper", "n_letters", "n_long", "n_marked")
 
 
 def repeated_words(ids: np.ndarray, width: int = WINDOW) -> int:
@@ -76,7 +76,11 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     upper = sum(map(str.isupper, string)) if string != string.lower() else 0
     letters = chars - symbols
     long = sum(len(w) > 40 for w in seen)
-    return (len(words), chars, symbols, dup, repeated_words(ids), int((ids[1:] == ids[:-1]).sum()), n_lines, upper, letters, long)
+    marked = 0
+    if symbols:
+        signs = np.fromiter((len(w.translate(None, SYMBOLS)) < len(w) for w in seen), bool, len(seen))
+        marked = int(signs[ids].sum())
+    return (len(words), chars, symbols, dup, repeated_words(ids), int((ids[1:] == ids[:-1]).sum()), n_lines, upper, letters, long, marked)
 
 
 @F.arrow_udf(T.StructType([T.StructField(x, T.LongType()) for x in FIELDS]))
@@ -94,7 +98,8 @@ def _vote(value: Column, good: float, bad: float) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """The rules: vote columns over the measures. A document without words gets no vote but that on length."""
+    """The rules: vote columns over the measures. Each defect is seen by two rules or more, from different
+    sides: a defect that one rule alone sees can't be told from that rule's own errors without labels. A document without words gets no vote but that on length."""
     n = F.col("n_words")
     share = lambda c, of="n_words": F.col(c) / F.greatest(F.col(of), F.lit(1))
     mean = share("word_chars")
@@ -102,6 +107,8 @@ def votes() -> dict[str, Column]:
     return {
         "length": F.when(n < 20, 0).when(n >= 50, 1).otherwise(-1),
         "symbols": some(_vote(share("n_symbols"), 0.05, 0.3)),
+        "symbol_chars": some(_vote(share("n_symbols", "word_chars"), 0.01, 0.05)),
+        "marked_words": some(_vote(share("n_marked"), 0.03, 0.15)),
         "dup_lines": some(_vote(share("n_dup_lines", "n_lines"), 0.05, 0.3)),
         "repeats": some(_vote(share("n_repeat_words"), 0.1, 0.3)),
         "runs": some(_vote(share("n_same_next"), 0.02, 0.15)),
@@ -111,37 +118,41 @@ def votes() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, start: float = 0.9) -> tuple[float, list]:
-    """EM for P(good) and P(vote | class) of each rule, from counted vote patterns.
+#: Kinds of defect and the rules that should agree on each. They only start the estimation: all rules are estimated for all classes.
+DEFECTS = (("symbols", "symbol_chars", "marked_words"), ("dup_lines", "repeats", "runs", "capitals"))
 
-    It starts from the share of good votes of each pattern. One added vote of each kind, split by
-    class, keeps probabilities off 0 and 1. Returns the prior and per rule {vote: log-odds of good}.
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, defects: tuple[tuple[int, ...], ...], rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """EM for the shares of the classes and P(vote | class) of each rule, from counted vote patterns.
+
+    Class 0 is good; every kind of defect is a class of its own, since a document with one defect passes the
+    rules on the others. A pattern starts in a defect's class if two of its rules vote bad (or its only one).
+    One added vote of each kind keeps probabilities off 0. Returns log shares (class) and log-probabilities
+    (class, rule, vote + 1); a rule that does not vote is no evidence.
     """
-    if not patterns:
-        return start, []
-    v = np.array([p for p, _ in patterns])
+    v = np.array([p for p, _ in patterns], int).reshape(len(patterns), rules)
     n = np.array([c for _, c in patterns], float)
-    voted = (v >= 0).sum(1)
-    good = np.where(voted > 0, (v == 1).sum(1) / np.maximum(voted, 1), start)
-    good = np.clip(good, 0.01, 0.99)
+    classes = len(defects) + 1
+    belief = np.full((len(n), classes), 0.02)
+    belief[:, 0] = 1.0
+    for k, own in enumerate(defects, 1):
+        against = (v[:, list(own)] == 0).sum(1) >= min(2, len(own))
+        belief[against, 0], belief[against, k] = 0.05, 1.0
+    belief /= belief.sum(1, keepdims=True)
     for _ in range(rounds):
-        prior = float(np.clip((n * good).sum() / n.sum(), 1e-3, 1 - 1e-3))
-        odds = np.full(len(n), math.log(prior / (1 - prior)))
-        tables = []
-        for k in range(v.shape[1]):
-            one = np.array([(n * good * (v[:, k] == x)).sum() for x in (-1, 0, 1)]) + 1
-            zero = np.array([(n * (1 - good) * (v[:, k] == x)).sum() for x in (-1, 0, 1)]) + 1
-            table = np.log(one / one.sum()) - np.log(zero / zero.sum())
-            table[0] = 0.0  # no vote, no evidence
-            table[1], table[2] = min(table[1], 0.0), max(table[2], 0.0)  # a rule is never worse than chance
-            tables.append(table)
-            odds = odds + table[v[:, k] + 1]
-        new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-        if np.abs(new - good).max() < 1e-9:
-            good = new
+        weight = belief * n[:, None]
+        shares = np.log((weight.sum(0) + 1) / (n.sum() + classes))
+        tables = np.zeros((classes, rules, 3))
+        for rule in range(rules):
+            votes = np.stack([(weight * (v[:, rule] == x)[:, None]).sum(0) for x in (0, 1)], 1) + 1
+            tables[:, rule, 1:] = np.log(votes / votes.sum(1, keepdims=True))
+        odds = shares[None, :] + sum(tables[:, rule, v[:, rule] + 1].T for rule in range(rules))
+        new = np.exp(odds - odds.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
+        moved, belief = np.abs(new - belief).max(initial=0), new
+        if moved < 1e-9:
             break
-        good = new
-    return prior, [{x: float(t[x + 1]) for x in (-1, 0, 1)} for t in tables]
+    return shares, tables
 
 
 def quality(docs: DataFrame, keep: list[str], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -152,11 +163,15 @@ def quality(docs: DataFrame, keep: list[str], text_col: str = "text", threshold:
     found = scratch.write(found.withColumns({f"vote_{k}": v for k, v in rules.items()}), "votes")
     names = [f"vote_{k}" for k in rules]
     counted = [(tuple(r[:-1]), r[-1]) for r in found.groupBy(*names).count().collect()]  # at most 3^rules rows
-    prior, tables = estimate(counted)
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for name, table in zip(names, tables, strict=False):
-        odds = odds + F.when(F.col(name) == 1, table[1]).when(F.col(name) == 0, table[0]).otherwise(0.0)
-    return found.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("posterior") >= threshold)
+    shares, tables = estimate(counted, len(names), tuple(tuple(list(rules).index(r) for r in d) for d in DEFECTS))
+    likelihoods = []
+    for k, share in enumerate(shares):
+        total = F.lit(float(share))
+        for name, table in zip(names, tables[k], strict=False):
+            total = total + F.when(F.col(name) == 1, float(table[2])).when(F.col(name) == 0, float(table[1])).otherwise(0.0)
+        likelihoods.append(total)
+    against = sum((F.exp(F.least(x - likelihoods[0], F.lit(500.0))) for x in likelihoods[1:]), F.lit(0.0))
+    return found.withColumn("posterior", 1 / (1 + against)).withColumn("kept", F.col("posterior") >= threshold)
 
 
 def op3(documents: DataFrame) -> DataFrame:

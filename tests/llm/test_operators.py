@@ -169,17 +169,19 @@ def test_quality_rules(spark, sf):
     assert np.mean(good) > 0.97
 
 
-def test_estimate_finds_the_better_rule():
-    rng, counts = random.Random(8), {}
-    for _ in range(4000):
-        good = rng.random() < 0.8
-        vote = tuple(int(good) if rng.random() < p else int(not good) for p in (0.95, 0.9, 0.85, 0.55))
+def test_estimate_finds_the_better_rules():
+    rng, counts, truth = random.Random(8), {}, {}
+    for _ in range(6000):
+        kind = rng.choices((0, 1, 2), (0.85, 0.1, 0.05))[0]
+        bad = [0.95 if kind == 1 else 0.01] * 2 + [0.9 if kind == 2 else 0.02] * 2 + [0.2]
+        vote = tuple(int(rng.random() >= p) for p in bad)
         counts[vote] = counts.get(vote, 0) + 1
-    prior, tables = quality_rules.estimate(list(counts.items()))
-    assert abs(prior - 0.8) < 0.05
-    strength = [t[1] - t[0] for t in tables]
-    assert strength[0] > strength[3] and strength[2] > strength[3]
-    assert quality_rules.estimate([])[1] == []
+        truth.setdefault(vote, []).append(kind)
+    shares, tables = quality_rules.estimate(list(counts.items()), 5, ((0, 1), (2, 3)))
+    assert np.abs(np.exp(shares) - (0.85, 0.1, 0.05)).max() < 0.02
+    assert np.abs(np.exp(tables[1, :, 1]) - (0.95, 0.95, 0.02, 0.02, 0.2)).max() < 0.1
+    assert abs(tables[0, 4, 1] - tables[1, 4, 1]) < 0.3  # the last rule tells nothing
+    assert quality_rules.estimate([], 2, ((0, 1),))[1].shape[0] == 2
 
 
 # op4
