@@ -15,7 +15,7 @@ from clearspark import sources
 from clearspark.functions import codecs, text
 from clearspark.kernel.engine import POLICIES
 from clearspark.kernel.tables import EMOJI, MISSPELT, SHORTHAND
-from clearspark.operators import corpus, evaluate, evidence, scoring, spans
+from clearspark.operators import corpus, evaluate, evidence, samples, scoring, spans
 from clearspark.operators.unmask import changed, names, unmask
 from clearspark.session import table
 
@@ -610,5 +610,40 @@ def kernel_clean(spark, sf_dir):
     return undone.select("doc_id", changed(F.col("result")).alias("changed"), (F.col("result.text") == F.col("text")).alias("same"))
 
 
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of conversations, clean and disguised, and the hard negatives."""
+    said = _talk(spark, sf_dir).select(F.col("doc_id").cast("string").alias("d"), F.posexplode(corpus.simple_sentences(F.col("text"))).alias("ix", "text"))
+    return samples.build(said.select(F.concat_ws("-", "d", F.col("ix").cast("string")).alias("id"), "text")).unionByName(samples.negatives(spark))
+
+
+def _report(outcomes: DataFrame, level: str) -> DataFrame:
+    rows = outcomes.withColumns({c: F.lit(None).cast(t) for c, t in (("caseless", "boolean"), ("origin", "string")) if c not in outcomes.columns})
+    if "expected_rewritten" not in rows.columns:
+        rows = rows.withColumn("expected_rewritten", F.lit(None).cast("string"))
+    return evaluate.facts(rows, level)
+
+
+@query()
+def sample_counts(spark, sf_dir):
+    """Built samples by mode and category."""
+    return _samples(spark, sf_dir).groupBy("mode", "category").agg(F.count("*").alias("n"))
+
+
+@query()
+def evaluation_report(spark, sf_dir):
+    """The kernel over all samples: tallies by mode, category and length in one pass."""
+    facts = _report(samples.ours(_samples(spark, sf_dir), _resources(spark, sf_dir), "balanced"), "balanced")
+    hit = F.coalesce("recovered", ~F.col("false_change"))
+    rows = facts.withColumn("good", hit)
+    return evaluate.tallies(rows, "good", (), ("mode",), ("mode", "category"), ("length_class",))
+
+
+@query()
+def baseline_report(spark, sf_dir):
+    """Returning the input, and compatibility normalisation, over the same samples."""
+    each = [_report(f(_samples(spark, sf_dir)), "balanced").select(F.lit(n).alias("system"), "mode", "recovered", "false_change") for n, f in (("identity", samples.identity), ("nfkc", samples.nfkc))]
+    return each[0].unionByName(each[1]).groupBy("system", "mode").agg(F.count("*").alias("n"), F.count_if("recovered").alias("n_recovered"), F.count_if("false_change").alias("n_changed"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_recovery(spark, sf_dir)
