@@ -59,20 +59,20 @@ def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 def coverage(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, covered, total: letters in known words, and in all words, of two letters and more. Documents without such a word have no row."""
-    counted = docs.select(key, F.explode(T.words(F.col(text))).alias("token")).where(F.length("token") > 1).groupBy(key, "token").agg(F.count("*").alias("n"))
-    letters = F.length(F.regexp_replace("token", "['’]", "")) * F.col("n")
-    return known_tokens(counted, lexicon).groupBy(key).agg(
+    each = docs.select(key, F.explode(T.words(F.col(text))).alias("token")).where(F.length("token") > 1)
+    letters = F.length("token") - F.length(F.regexp_replace("token", "[^'’]", ""))
+    return known_tokens(each, lexicon).groupBy(key).agg(
         F.sum(F.when(F.col("known"), letters).otherwise(0)).alias("covered"), F.sum(letters).alias("total")
     )
 
 
 def fit(docs: DataFrame, grams: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, fit: mean log10 probability of the letter sequences; unseen ones count half."""
-    counted = docs.select(key, F.explode(T.grams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
+    each = docs.select(key, F.explode(T.grams(F.col(text))).alias("gram"))
     table = small(grams.select("gram", F.log10(F.col("cnt") / F.col("total")).alias("p")))
     unseen = grams.select(F.log10(0.5 / F.first("total")).alias("unseen"))
-    joined = counted.join(table, "gram", "left").crossJoin(F.broadcast(unseen))  # one row
-    return joined.groupBy(key).agg((F.sum(F.coalesce("p", "unseen") * F.col("n")) / F.sum("n")).alias("fit"))
+    joined = each.join(table, "gram", "left").crossJoin(F.broadcast(unseen))  # one row
+    return joined.groupBy(key).agg(F.avg(F.coalesce("p", "unseen")).alias("fit"))
 
 
 def english_score(docs: DataFrame, lexicon: DataFrame, grams: DataFrame, text: str = "text", key: str = "doc_id", gibberish: float = -6.5, english: float = -4.0) -> DataFrame:
