@@ -23,5 +23,11 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; the path may be in any store that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; the path may be in any store that Spark reads.
+
+    A file of one row group is one task, however many cores there are; such a small table is dealt out.
+    Tables that fill the cores by themselves are read as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
