@@ -1,11 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line of a text. A template matches a block if at least `threshold` of the template's distinct
-words are in the block. Words of templates are ordered by how many documents hold them, counted
+A block is a line of a text, or, wherever lines break, as many consecutive words of the whole text as the template
+has (a template wrapped over lines is such a window). A template matches a block if at least `threshold` of the
+template's distinct words are in the block. Words of templates are ordered by how many documents hold them, counted
 over the whole table, rare ones first. With a needed overlap of t words, one of the first |T| - t + 1
 of a template must be in the block (prefix filter), the block needs t distinct words (length filter), and from
 the place of the first shared word on, enough of the template must be left (position filter). The prefix filter is
-tried on the whole text before it is cut to blocks. What passes is compared exactly. Templates are a fixed list,
+tried on the whole text before it is cut to blocks. A window that starts with a template word is tried only if
+enough words of the template stand in it. What passes is compared exactly. Templates are a fixed list,
 so the join needs no shuffle; the one aggregate has a row for each template word.
 
 Base labels are the phrases' places: words standing consecutively.
@@ -53,15 +55,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lowered(text), SPLIT), lambda w: w != "")
 
 
-def orders(docs: DataFrame, text_col: str, threshold: float) -> list[tuple[str, list[str], int]]:
-    """Templates as (label, words rare first, needed overlap), by document frequency over all rows."""
+def orders(docs: DataFrame, text_col: str, threshold: float) -> list[tuple[str, list[str], int, int]]:
+    """Templates as (label, words rare first, needed overlap, length in words), by document frequency over all rows."""
     own = sorted({w for t, _ in TEMPLATES for w in t.split()})
     held = F.array_intersect(words(F.col(text_col)), F.array(*map(F.lit, own)))
     counts = {r.word: r.n for r in docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     out = []
     for text, label in TEMPLATES:
         distinct = sorted(set(text.split()), key=lambda w: (counts.get(w, 0), w))
-        out.append((label, distinct, max(1, -int(-len(distinct) * threshold // 1))))
+        out.append((label, distinct, max(1, -int(-len(distinct) * threshold // 1)), len(text.split())))
     return out
 
 
@@ -76,19 +78,47 @@ def _containment(block: Column, template: list[str], need: int) -> Column:
     return F.when(passes & (shared >= need), shared / size)
 
 
+def _window_containment(hits: Column, template: list[str], need: int, length: int) -> Column:
+    """The best shared share of the template's words in `length` consecutive words, or null where `need` isn't reached.
+
+    `hits` are the text's template words with their places. A best window may start at a word of the template.
+    """
+    prefix = F.array(*map(F.lit, template[: len(template) - need + 1]))
+    held = lambda m: F.array_distinct(F.transform(m, lambda x: x["word"]))
+
+    def best(m: Column) -> Column:
+        def shared(h: Column, k: Column) -> Column:
+            end = h["at"] + length
+            inside = F.filter(F.slice(m, k + 1, length), lambda x: x["at"] < end)
+            # in a window with `need` words the hit that is need - 1 places on must stand
+            return F.when(F.get(m, k + (need - 1))["at"] < end, F.size(held(inside)))
+
+        passes = (F.size(m) >= need) & F.arrays_overlap(held(m), prefix) & (F.size(held(m)) >= need)
+        return F.when(passes, F.array_max(F.transform(m, shared)))
+
+    # within an array, so that the hits of the template are found once and not for each start
+    mine = F.filter(hits, lambda x: x["word"].isin(*template))
+    found = F.element_at(F.transform(F.array(mine), best), 1)
+    return F.when(found >= need, found / len(template))
+
+
 def matches(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, out: str = "found") -> DataFrame:
     """docs with array `out` of struct<label, score>: the best containment of each template that some block reaches."""
     templates = orders(docs, text_col, threshold)
-    rare = sorted({w for _, t, need in templates for w in t[: len(t) - need + 1]})
+    rare = sorted({w for _, t, need, _ in templates for w in t[: len(t) - need + 1]})
+    own = sorted({w for _, t, _, _ in templates for w in t})
     tried = f"(?i)(?<![a-z0-9\\x{{80}}-\\x{{10FFFF}}])(?:{'|'.join(rare)})(?![a-z0-9\\x{{80}}-\\x{{10FFFF}}])"
     blocks = F.filter(
         F.transform(F.split(F.col(text_col), "\n"), lambda x: F.array_distinct(words(x))),
         lambda b: F.arrays_overlap(b, F.array(*map(F.lit, rare))),
     )
-    best = lambda t, need: F.array_max(F.transform("_blocks", lambda b: _containment(b, t, need)))
-    scores = F.array(*[F.struct(F.lit(label).alias("label"), best(t, need).alias("score")) for label, t, need in templates])
-    found = docs.withColumn("_blocks", F.when(F.col(text_col).rlike(tried), blocks))
-    return found.withColumn(out, F.coalesce(F.filter(scores, lambda x: x["score"].isNotNull()), F.array().cast("array<struct<label:string,score:double>>"))).drop("_blocks")
+    hits = F.filter(F.transform(words(F.col(text_col)), lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(*own))
+    line = lambda t, need: F.array_max(F.transform("_blocks", lambda b: _containment(b, t, need)))
+    best = lambda t, need, n: F.greatest(line(t, need), _window_containment(F.col("_hits"), t, need, n))
+    scores = F.array(*[F.struct(F.lit(label).alias("label"), best(t, need, n).alias("score")) for label, t, need, n in templates])
+    may = F.col(text_col).rlike(tried)
+    found = docs.withColumns({"_blocks": F.when(may, blocks), "_hits": F.when(may, hits)})
+    return found.withColumn(out, F.coalesce(F.filter(scores, lambda x: x["score"].isNotNull()), F.array().cast("array<struct<label:string,score:double>>"))).drop("_blocks", "_hits")
 
 
 def phrases(docs: DataFrame, text_col: str = "text") -> DataFrame:
