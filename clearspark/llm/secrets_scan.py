@@ -7,8 +7,8 @@ and texts are not read again. The base secrets are labelled credentials: for eac
 character classes, and statistically compatible states are merged (Hoeffding bound, red and blue
 states) into a probabilistic automaton. Pass 2 scores every candidate: it is a secret if an automaton gives it
 at least the likelihood a character that nearly all of the kind's own values reach, and makes it clearly likelier
-(by `margin`, a log-odds) than the background does: the character classes of those (at most `sample`) other
-candidates that no automaton finds typical.
+(by `margin`, a log-odds) than the background does: the character classes of all distinct other
+candidates that no automaton finds typical, counted where they lie; a row a class is collected.
 
 Defined cases: null text is empty; matches that touch or overlap, of several kinds, all count;
 a kind without values has no automaton and adds nothing; rows are judged one by one.
@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -183,13 +183,18 @@ class Automaton:
 class Grammars:
     """Automata of the kinds, and class frequencies of the candidates that none of them finds typical."""
 
-    def __init__(self, labelled: dict[int, list[str]], other: list[str], margin: float = 2.0):
+    def __init__(self, labelled: dict[int, list[str]], margin: float = 2.0):
         self.kinds = {k: Automaton(v) for k, v in sorted(labelled.items()) if v}
         self.margin = margin
-        rest = [v for v in other if not any(a.likelihood(v) >= a.floor for a in self.kinds.values())]
-        self.counts = Counter(name for v in rest for name, _ in symbols(v))
+        self.set_background({})
+
+    def set_background(self, counts: dict[str, int]) -> None:
+        self.counts = Counter(counts)
         self.total = sum(self.counts.values())
 
+    def atypical(self, value: str) -> bool:
+        return not any(a.likelihood(value) >= a.floor for a in self.kinds.values())
+
     def background(self, value: str) -> float:
         """Log-likelihood of the value from single character classes; low without any background."""
         if not self.total:
@@ -202,13 +207,23 @@ class Grammars:
 
 
 def learn(found: DataFrame, sample: int) -> Grammars:
-    """Automata from at most `sample` distinct values of each kind and as many other candidates, by smallest hash."""
+    """Automata from at most `sample` distinct values of each kind, by smallest hash, and the background of all other candidates."""
     values = found.select(F.explode(F.concat("found.base", "found.other")).alias("s")).select("s.kind", "s.value").distinct()
-    labelled = defaultdict(list)
-    for kind in range(4):
+    labelled = {}
+    for kind in range(3):
         rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
         labelled[kind] = sorted(r.value for r in rows)
-    return Grammars({k: v for k, v in labelled.items() if k < 3}, labelled[3])
+    grammars = Grammars(labelled)
+    shared = found.sparkSession.sparkContext.broadcast(grammars)
+
+    @F.arrow_udf("array<string>")
+    def classes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([[name for name, _ in symbols(v)] if shared.value.atypical(v) else [] for v in batch.to_pylist()], pa.list_(pa.string()))
+
+    rest = values.where(F.col("kind") == 3).select(F.explode(classes("value")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    grammars.set_background({r.name: r.n for r in rest.collect()})
+    return grammars
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text", sample: int = 400) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import random
 import re
+from collections import Counter
 
-from clearspark.llm import license_scan
+from pyspark.sql import functions as F
+
+from clearspark.llm import license_scan, secrets_scan
 
 # op7
 
@@ -41,3 +44,18 @@ def test_wrapped_licenses(spark):
             best[x.label] = max(x.score, best.get(x.label, 0))
     assert got == {i: licenses(t) for i, t in enumerate(texts)}
     assert [sorted(got[i]) for i in range(4)] == [["bsd"], ["mpl"], ["isc"], ["bsd"]]
+
+
+# op9
+
+
+def test_background_of_all_candidates(spark):
+    rng = random.Random(5)
+    made = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    others = [made("0123456789ABCDEFG-_", 20) + "7" for _ in range(300)]
+    rows = [(i, f"password={made('abcdef', 18)} id {v} and {v}") for i, v in enumerate(others)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    grammars = secrets_scan.learn(docs.select(secrets_scan._find("text").alias("found")), 20)
+    rest = [v for v in set(others) if grammars.atypical(v)]
+    assert len(rest) > 200
+    assert grammars.counts == Counter(name for v in rest for name, _ in secrets_scan.symbols(v))
