@@ -89,14 +89,14 @@ def symbols(value: str) -> list[tuple[str, float]]:
 class Automaton:
     """A probabilistic automaton by state merging: states hold how often strings pass, end and go on."""
 
-    def __init__(self, values: list[str], alpha: float = 0.05, depth: int = 48):
+    def __init__(self, values: list[str], alpha: float = 0.05):
         self.passed, self.ended, self.next = [0], [0], [{}]
         self.margin = math.sqrt(0.5 * math.log(2 / alpha))
         self.parent: list[int] = [0]
         for value in values:
             state = 0
             self.passed[0] += 1
-            for name, _ in symbols(value)[:depth]:
+            for name, _ in symbols(value):
                 if name not in self.next[state]:
                     self.next[state][name] = len(self.next)
                     for column, x in ((self.passed, 0), (self.ended, 0), (self.next, {}), (self.parent, len(self.parent))):

@@ -59,3 +59,12 @@ def test_background_of_all_candidates(spark):
     rest = [v for v in set(others) if grammars.atypical(v)]
     assert len(rest) > 200
     assert grammars.counts == Counter(name for v in rest for name, _ in secrets_scan.symbols(v))
+
+
+def test_automaton_holds_whole_values():
+    rng = random.Random(6)
+    made = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    digits, tail = "0123456789", "GHIJKLMNOP"
+    automaton = secrets_scan.Automaton([made(digits, 52) + made(tail, 12) for _ in range(300)])
+    assert automaton.likelihood(made(digits, 52) + made(tail, 12)) >= automaton.floor
+    assert automaton.likelihood(made(digits, 52) + made("ghijklmnop", 12)) < automaton.floor
