@@ -328,9 +328,9 @@ _SAY = "CASE (doc_id % 4) WHEN 0 THEN 'pls call me l8r' WHEN 1 THEN 'c u at 4 pm
  (2, 1, 'MSG', 'message', 'unsure', false), (3, 0, 'r', 'are', 'sure', true), (3, 1, 'u', 'you', 'sure', true))
 SELECT doc_id, ix, token, CASE WHEN token = 'MSG' THEN 'Message' ELSE plain END AS plain, strength, accepted FROM documents, x WHERE doc_id % 4 = k""")
 def shorthand_rewrite(spark, sf_dir):
-    """Shorthand with its context, in sentences chosen by doc_id."""
+    """Shorthand with its context: whole texts, a sentence chosen by doc_id before each."""
     say = F.expr(_SAY)
-    return evidence.shorthand(_docs(spark, sf_dir).select("doc_id", say.alias("text")))
+    return evidence.shorthand(_docs(spark, sf_dir).select("doc_id", F.concat_ws("\n", say, "text").alias("text")))
 
 
 @query(f"""WITH {LEX}, x(k, ix, token, plain) AS (VALUES (0, 1, 'recieve', 'receive'), (1, 0, 'Teh', 'the'))
@@ -340,6 +340,12 @@ def misspelling_listed(spark, sf_dir):
     return evidence.misspelt(_docs(spark, sf_dir).select("doc_id", say.alias("text")), _lexicon(spark, sf_dir))
 
 
+@query()
+def misspelling_texts(spark, sf_dir):
+    """Listed misspellings in whole texts, which the encoder misspelt; texts that are mostly unknown words are not accepted."""
+    return evidence.misspelt(_docs(spark, sf_dir).withColumn("text", codecs.misspell(F.col("text"))), _lexicon(spark, sf_dir))
+
+
 @query(f"""WITH {LEX}, w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{6,}}')) AS word FROM documents WHERE lang = 'en'),
 u AS (SELECT word FROM w WHERE word NOT IN (SELECT word FROM lex)),
 t AS (SELECT DISTINCT word, unnest(list_transform(range(1, length(word)), lambda i: CASE WHEN word[i] = word[i + 1] THEN word[1:i] || word[i + 2:] ELSE word[1:i - 1] || word[i + 1] || word[i] || word[i + 2:] END)) AS plain FROM u)
@@ -352,8 +358,9 @@ def misspelling_slips(spark, sf_dir):
 
 @query("""WITH x(k, ix, token, plain) AS (VALUES (0, 0, chr(127874), 'birthday'), (1, 0, chr(128273), 'key')) SELECT doc_id, ix, token, plain FROM documents, x WHERE doc_id % 3 = k""")
 def emoji_words(spark, sf_dir):
+    """Emoji that stand for a word: whole texts, a phrase chosen by doc_id before each."""
     say = F.when(F.col("doc_id") % 3 == 0, "happy 🎂").when(F.col("doc_id") % 3 == 1, "the 🔑 fits").otherwise("pizza 🍕")
-    return evidence.emoji(_docs(spark, sf_dir).select("doc_id", say.alias("text")))
+    return evidence.emoji(_docs(spark, sf_dir).select("doc_id", F.concat_ws("\n", say, "text").alias("text")))
 
 
 @query(f"WITH v(v) AS (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in dict.fromkeys(EMOJI.values()))}) SELECT doc_id, v AS word, len(list_filter(string_split(text, ' '), lambda x: lower(x) = v))::BIGINT AS n FROM documents, v WHERE n > 0")

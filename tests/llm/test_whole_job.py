@@ -4,9 +4,9 @@ import random
 import re
 from collections import Counter
 
-from pyspark.sql import functions as F
-
+from clearspark.kernel.tables import MISSPELT
 from clearspark.llm import license_scan, secrets_scan
+from clearspark.plans import catalog
 
 # op7
 
@@ -68,3 +68,26 @@ def test_automaton_holds_whole_values():
     automaton = secrets_scan.Automaton([made(digits, 52) + made(tail, 12) for _ in range(300)])
     assert automaton.likelihood(made(digits, 52) + made(tail, 12)) >= automaton.floor
     assert automaton.likelihood(made(digits, 52) + made("ghijklmnop", 12)) < automaton.floor
+
+
+# word rules over whole texts
+
+
+def test_word_rules_read_whole_texts(spark, tmp_path):
+    words = "the and with their people"
+    texts = [f"{words} " * 40 + "end pls", f"{words} " * 40 + "wiht the", f"the 🔑 fits {words} 🔥 {words}", "zq xv wq teh vq"] + [words] * 6
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert (0, "pls") in [(r.doc_id, r.token) for r in run("shorthand_rewrite") if r.ix > 10]
+    assert {(r.doc_id, r.token) for r in run("emoji_words")} >= {(2, "🔑"), (0, "🎂")}
+
+    known = {w for w in " ".join(texts).lower().split() if sum(w in t.lower().split() for t in texts) >= 5 and len(w) > 1}
+    back, want = {v: k for k, v in reversed(MISSPELT.items()) if " " not in v and "'" not in v}, set()
+    for i, t in enumerate(texts):
+        tokens = re.findall("[A-Za-z]+", " ".join(back.get(w, w) for w in t.split(" ")))
+        hits = [x in MISSPELT and x not in known for x in tokens]
+        other = [x in known for x, hit in zip(tokens, hits) if not hit and len(x) > 1]
+        want |= {(i, ix, x, MISSPELT[x], sum(other) >= 0.7 * len(other)) for ix, (x, hit) in enumerate(zip(tokens, hits)) if hit}
+    assert {tuple(r) for r in run("misspelling_texts")} == want
+    assert {x[4] for x in want} == {True, False}
