@@ -597,8 +597,8 @@ def _resources(spark: SparkSession, sf_dir: str):
 
 @query()
 def kernel_recovery(spark, sf_dir):
-    """Turns of conversations under six disguises, undone by the kernel: recovery and right steps by trick."""
-    undone = unmask(_disguised(_talk(spark, sf_dir)), _resources(spark, sf_dir))
+    """Whole documents under six disguises, undone by the kernel: recovery and right steps by trick."""
+    undone = unmask(_disguised(_docs(spark, sf_dir)), _resources(spark, sf_dir))
     right = F.array_contains(names(F.col("result.steps")), F.col("trick"))
     return undone.groupBy("trick").agg(F.count("*").alias("n"), F.count_if(F.col("result.text") == F.col("expected")).alias("n_recovered"), F.count_if(right).alias("n_right_step"))
 
@@ -617,6 +617,13 @@ def kernel_clean(spark, sf_dir):
     return undone.select("doc_id", changed(F.col("result")).alias("changed"), (F.col("result.text") == F.col("text")).alias("same"))
 
 
+@query()
+def kernel_clean_documents(spark, sf_dir):
+    """What the kernel does to whole documents as they are: whether each is changed, and by how many steps."""
+    undone = unmask(_docs(spark, sf_dir), _resources(spark, sf_dir))
+    return undone.select("doc_id", changed(F.col("result")).alias("changed"), F.size("result.steps").cast("bigint").alias("n_steps"))
+
+
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of conversations, clean and disguised, and the hard negatives."""
     said = _talk(spark, sf_dir).select(F.col("doc_id").cast("string").alias("d"), F.posexplode(corpus.simple_sentences(F.col("text"))).alias("ix", "text"))

@@ -91,3 +91,13 @@ def test_word_rules_read_whole_texts(spark, tmp_path):
         want |= {(i, ix, x, MISSPELT[x], sum(other) >= 0.7 * len(other)) for ix, (x, hit) in enumerate(zip(tokens, hits)) if hit}
     assert {tuple(r) for r in run("misspelling_texts")} == want
     assert {x[4] for x in want} == {True, False}
+
+
+# the kernel
+
+
+def test_kernel_recovers_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = catalog.QUERIES["kernel_recovery"](spark, sf).collect()
+    assert sum(r.n for r in rows) == docs.count()
+    assert all(r.n_recovered >= 0.9 * r.n for r in rows)
