@@ -5,12 +5,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+#: Longer keys are worked out each time, so that a bound on the number of remembered keys bounds their bytes too.
+LONGEST_KEY = 64
+
 #: Bytes outside words of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` become spaces, A-Z become a-z.
 _ALNUM = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
@@ -30,14 +35,14 @@ def space_words(text: bytes | None, lower: bool = False) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered for at most `most` words; later words are hashed each time."""
+    """word -> 64-bit hash, remembered for at most `most` words of up to LONGEST_KEY bytes."""
 
     def __init__(self, seed: int = 0, most: int = 400_000):
         self.seed, self.most = seed, most
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word, self.seed)
-        if len(self) < self.most:
+        if len(self) < self.most and len(word) <= LONGEST_KEY:
             self[word] = h
         return h
 
@@ -45,6 +50,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@lru_cache(4)
+def word_hashes(seed: int) -> WordHashes:
+    """The hashes that a Python worker keeps from task to task."""
+    return WordHashes(seed)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):
@@ -80,18 +91,47 @@ def rolling(h: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> np.nda
     return mix(out)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir() was given.
+
+    Only a session on one machine may do without: it gets a temporary folder. On a cluster a local folder
+    would scatter the tables over the executors' disks, so that is an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if sc.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.gettempdir()
+
+
 class Scratch:
-    """A folder of this run in spark.checkpoint.dir, which driver and executors share.
+    """A folder of this run under shared_folder(); lineage is cut by writing a table there.
 
-    Lineage is cut by writing a table there. Where the session names no such folder (tests on one
-    machine), a temporary one is used. What is written stays until drop() or the driver's end.
+    What is written stays until drop(), the end of the scope() it was made in, or the driver's end.
     """
 
+    _open: list[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-        self.root = f"{base.rstrip('/')}/clearspark-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/clearspark-{uuid.uuid4().hex}"
         atexit.register(self.drop)
+        if Scratch._open:
+            Scratch._open[-1].append(self)
+
+    @classmethod
+    @contextmanager
+    def scope(cls) -> Iterator[None]:
+        """Folders made inside go when it ends: for callers that write an operator's result within."""
+        cls._open.append([])
+        try:
+            yield
+        finally:
+            for scratch in cls._open.pop():
+                scratch.drop()
+                atexit.unregister(scratch.drop)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -100,16 +140,25 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str | None = None) -> None:
+    def drop(self, *names: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            for path in [self.path(n) for n in names] or [self.root]:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session may have ended; a cluster's cleaner takes the rest
-            if name:
+            if names:
                 raise
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as df has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """Bytes of text in a table, to choose partition counts by."""
     return df.selectExpr(f"sum(octet_length(`{column}`)) as n").first()["n"] or 0
