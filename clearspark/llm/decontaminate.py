@@ -4,19 +4,23 @@ The automaton of all items is built once on the driver and broadcast. Documents
 word by word: the automaton's state and the length matched so far tell, at each word, the longest
 run of words that ends there and occurs in some item. Documents are only read; nothing is shuffled.
 
-Bound on what is broadcast: an automaton holds at most `block_words` item words (two states a word).
-A larger benchmark is cut into several automata, each scanned in its own pass, whose hits are united
-per document. Results do not depend on the cut.
+Bound on what is broadcast and held by a worker: one automaton of at most `block_words` item words (two states a
+word). A larger benchmark is cut into several automata, one after another: rows are numbered and written once,
+each automaton is scanned in a job of its own that writes hits only, and is then given back. The hits
+are united per row. Results do not depend on the cut.
 
 Defined cases: null or empty text has no words; a null item text, or one without words, has no
-window; equal items each count; rows with equal or null ids are judged row by row; an empty
-benchmark hits nothing. Other columns are carried unchanged (the added ones are in one struct).
+window; rows of one item_id are one item; an item without an id hits words but is neither named nor
+counted among the items; rows with equal or null doc_id are judged row by row; an empty benchmark hits
+nothing; texts of any length are scanned whole. Other columns are carried unchanged, whatever their names: what is
+added is one struct, which takes the place of a column of its own name.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clearspark.llm.common import alnum_words
+from clearspark.llm.common import Scratch, alnum_words, fresh
 
 WINDOW = 13
 SCHEMA = (
@@ -36,7 +40,7 @@ SCHEMA = (
 class SuffixAutomaton:
     """Generalised suffix automaton over words, with the items of every window marked on its states."""
 
-    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[object | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.length, self.link, self.next = [0], [-1], [{}]
@@ -44,7 +48,7 @@ class SuffixAutomaton:
         for item, words in items:
             if words:
                 text = [self.ids.setdefault(w, len(self.ids)) for w in words]
-                texts.append((str(item), text))
+                texts.append((set() if item is None else {str(item)}, text))
                 last = 0
                 for c in text:
                     last = self._extend(last, c)
@@ -61,9 +65,9 @@ class SuffixAutomaton:
             for i, c in enumerate(text):
                 state = self.next[state][c]
                 if i + 1 >= window:
-                    self.items.setdefault(self.at_window[state], set()).add(item)
+                    self.items.setdefault(self.at_window[state], set()).update(item)
             if len(text) < window:
-                ends.setdefault(state, {}).setdefault(len(text), set()).add(item)
+                ends.setdefault(state, {}).setdefault(len(text), set()).update(item)
         self.short: dict[int, list[tuple[int, frozenset[str]]]] = {}  # whole items of fewer words that end here
         for s in order:
             own = [(n, frozenset(x)) for n, x in ends.get(s, {}).items()]
@@ -190,49 +194,44 @@ def contamination(
     out: str = "contamination",
 ) -> DataFrame:
     """Every row of docs with a struct `out`: n_words, n_hit, n_items, items and merged hit spans (in words)."""
+    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    first, second = next(blocks, []), next(blocks, None)
     sc = docs.sparkSession.sparkContext
-    parts = []
-    for block in _blocks(benchmark, item_id, item_text, block_words):
-        parts.append(sc.broadcast(SuffixAutomaton(block, window)))
-    if not parts:
-        parts = [sc.broadcast(SuffixAutomaton([], window))]
-    if len(parts) == 1:
-        return docs.withColumn(out, _scanner(parts[0])(F.col(text_col)))
-    found = docs
-    names = [f"_{out}_{k}" for k in range(len(parts))]
-    for name, part in zip(names, parts, strict=True):
-        found = found.withColumn(name, _scanner(part)(F.col(text_col)))
-    spans = F.array_sort(F.flatten(F.array(*[F.col(f"{n}.spans") for n in names])))
-    # sorted spans of all blocks fold into disjoint ones
-    merged = F.aggregate(
+    if second is None:
+        return docs.withColumn(out, _scanner(sc.broadcast(SuffixAutomaton(first, window)))(F.col(text_col)))
+    scratch = Scratch(docs.sparkSession)
+    row, found = fresh(docs, "row"), None
+    rows = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    for k, block in enumerate(chain((first, second), blocks)):
+        automaton = sc.broadcast(SuffixAutomaton(block, window))
+        # every row in the first pass, for the number of words; later ones bring hits alone
+        hits = rows.select(F.col(row).alias("row"), _scanner(automaton)(F.col(text_col)).alias("c"))
+        part = scratch.write(hits if k == 0 else hits.where("c.n_hit > 0"), f"hits{k}")
+        automaton.destroy()
+        found = part if found is None else found.unionByName(part)
+    united = found.groupBy("row").agg(
+        F.max("c.n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("c.items")))).alias("items"),
+        _folded(F.array_sort(F.flatten(F.collect_list("c.spans")))).alias("spans"),
+    )
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"]).alias("n_hit")
+    one = united.select(F.col("row").alias(row), F.struct("n_words", hit, F.size("items").cast("bigint").alias("n_items"), "items", "spans").alias(out))
+    return rows.drop(*[c for c in rows.columns if c.lower() == out.lower()]).join(one, row).drop(row)
+
+
+def _folded(spans):
+    """Sorted spans, made disjoint: one span for each stretch of hit words, with its longest match."""
+    grown = lambda last, x: F.struct(
+        last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.greatest(last["matched"], x["matched"]).alias("matched")
+    )
+    return F.aggregate(
         spans,
         F.array().cast("array<struct<start:bigint,end:bigint,matched:bigint>>"),
         lambda done, x: F.when(
             (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"),
-                        F.greatest(F.element_at(done, -1)["matched"], x["matched"]).alias("matched"),
-                    )
-                ),
-            ),
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown(F.element_at(done, -1), x))),
         ).otherwise(F.concat(done, F.array(x))),
     )
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names]))))
-    found = found.withColumn("_spans", merged).withColumn("_items", items)
-    return found.withColumn(
-        out,
-        F.struct(
-            F.col(f"{names[0]}.n_words").alias("n_words"),
-            F.aggregate("_spans", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"]).alias("n_hit"),
-            F.size("_items").cast("bigint").alias("n_items"),
-            F.col("_items").alias("items"),
-            F.col("_spans").alias("spans"),
-        ),
-    ).drop(*names, "_spans", "_items")
 
 
 def contaminated(found: str = "contamination", share: int = 20):
@@ -271,12 +270,13 @@ def decontaminate(
 ) -> DataFrame:
     """docs without benchmark passages: rows over the coverage limit lose every hit span, or go (`drop`);
     below that limit spans whose longest match has at least `min_matched` words are cut, unless `drop`."""
-    found = contamination(docs, benchmark, text_col, out="_found", **how)
+    name = fresh(docs, "found")
+    found = contamination(docs, benchmark, text_col, out=name, **how)
+    over = contaminated(name, share)
     if drop:
-        return found.where(~contaminated("_found", share)).drop("_found")
-    over = contaminated("_found", share)
-    spans = F.when(over, F.col("_found.spans")).otherwise(F.filter("_found.spans", lambda x: x["matched"] >= min_matched))
-    return found.withColumn(text_col, _without(F.col(text_col), spans)).drop("_found")
+        return found.where(~over).drop(name)
+    spans = F.when(over, F.col(f"{name}.spans")).otherwise(F.filter(f"{name}.spans", lambda x: x["matched"] >= min_matched))
+    return found.withColumn(text_col, _without(F.col(text_col), spans)).drop(name)
 
 
 def op1(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -304,6 +304,32 @@ def brute_force(text: str | None, items: list[tuple[object, str | None]], window
             for i in range(len(words) - n + 1):
                 if words[i : i + n] == own[a : a + n]:
                     hit.update(range(i, i + n))
-                    found.add(str(item))
+                    found |= set() if item is None else {str(item)}
     digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
     return len(words), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(words)
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The same by definition, in DuckDB: all windows of all items against all runs of as many words."""
+    words = r"regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    # runs of n words from word i on, for the lengths that some item has
+    run = lambda n: " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER s" for k in range(1, n))])
+    runs = lambda t: " UNION ALL ".join(
+        f"SELECT {t}.key AS key, i, {n} AS n, {run(n)} AS win FROM {t} WHERE {n} IN (SELECT n FROM lengths) WINDOW s AS (PARTITION BY {t}.key ORDER BY i)"
+        for n in range(1, window + 1)
+    )
+    return f"""
+WITH items AS (SELECT row_number() OVER () AS key, item_id, {words} AS ws FROM benchmark),
+lengths AS (SELECT DISTINCT least(len(ws), {window}) AS n FROM items WHERE len(ws) > 0),
+docs AS (SELECT row_number() OVER () AS key, doc_id, {words} AS ws FROM documents),
+iw AS (SELECT key, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM items),
+dw AS (SELECT key, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM docs),
+ir AS ({runs("iw")}),
+dr AS ({runs("dw")}),
+windows AS (SELECT DISTINCT item_id, n, win FROM ir JOIN items USING (key) WHERE win IS NOT NULL AND n = least(len(ws), {window})),
+hits AS (SELECT dr.key, i, dr.n, item_id FROM dr JOIN windows ON dr.n = windows.n AND dr.win = windows.win),
+words AS (SELECT key, count(DISTINCT place) AS n_hit FROM (SELECT key, unnest(range(i, i + n)) AS place FROM hits) GROUP BY key),
+found AS (SELECT key, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY key)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM docs LEFT JOIN words USING (key) LEFT JOIN found USING (key)"""
