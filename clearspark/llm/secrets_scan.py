@@ -1,17 +1,22 @@
 """Secret scans by grammar inference.
 
-Pass 1 finds, in each whole text, the base secrets (three fixed formats) and all other candidates: long
-runs of credential characters with a digit. Both are short, so they are written to the shared folder
-and texts are not read again. The base secrets are labelled credentials: for each kind, at most
-`sample` distinct values (those of smallest hash; a documented bound) become a prefix tree over
+Base secrets have three fixed formats. Their values are the labelled credentials: for each kind, at most
+`sample` distinct values (those of smallest hash; a documented bound on what is learnt from) become a prefix tree over
 character classes, and statistically compatible states are merged (Hoeffding bound, red and blue
-states) into a probabilistic automaton. Pass 2 scores every candidate: it is a secret if an automaton gives it
-at least the likelihood a character that nearly all of the kind's own values reach, and makes it clearly likelier
-(by `margin`, a log-odds) than the background does: the character classes of all distinct other
-candidates that no automaton finds typical, counted where they lie; a row a class is collected.
-
-Defined cases: null text is empty; matches that touch or overlap, of several kinds, all count;
-a kind without values has no automaton and adds nothing; rows are judged one by one.
+states) into a probabilistic automaton. Candidates are all other maximal runs of the base rule's own value characters, of
+six and more, without full stops at their end, in whole texts. Each is scored: it is a secret if an automaton gives it at least the
+likelihood a character that nearly all of the kind's own values reach, and makes it likelier than the background does, by
+more than secrets are rarer (a log-odds with the shares of labelled values and candidates as prior). The background is a chain over character
+classes, counted over every place of every candidate: tasks count, Spark adds up, and a row a pair of classes comes to the driver.
+
+What a candidate scores depends on its classes alone, so a text is translated to classes at once, and scores are
+remembered by class pattern. Passes: values of base secrets; the background; the scan. Nothing but distinct base values
+and counts is shuffled.
+
+Defined cases: null text is empty; matches that touch or overlap, of several kinds, all count; an added span never
+overlaps a base one; a kind without values has no automaton and adds nothing; without base secrets nothing is added; texts
+of any length are scanned whole; rows are judged one by one, equal rows alike; an empty table gives no row; `keep`
+columns are carried, others are not read.
 """
 
 from __future__ import annotations
@@ -27,17 +32,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clearspark.llm.common import Scratch
+from clearspark.llm.common import LONGEST_KEY, Scratch
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 LONG_HEX = re.compile(rb"[0-9a-f]{24,}")  # a run of 24 and more is found as the same maximal run
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+SHORTEST = 6
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{6,}")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-DIGITS = b"0123456789"
+#: Character classes by name and their members; other signs of candidates are classes of their own.
+CLASSES = ((b"0", b"0123456789"), (b"a", b"abcdef"), (b"g", b"ghijklmnopqrstuvwxyz"), (b"A", b"ABCDEF"), (b"G", b"GHIJKLMNOPQRSTUVWXYZ"))
+SIGNS = b"+/_.=-"
+_WITHIN = {name[0]: math.log(len(members)) for name, members in CLASSES} | {b: 0.0 for b in SIGNS}
+#: To classes; all bytes that no candidate has become spaces.
+_CLASS_OF = bytes(next((name[0] for name, members in CLASSES if b in members), b if b in SIGNS else 0x20) for b in range(256))
+LOST = -math.log(64) - 1  # of each character behind the end of all labelled values
+FEW = 0.05
+MOST_PATTERNS = 200_000
 SPAN = T.StructType([T.StructField(c, t) for c, t in (("kind", T.IntegerType()), ("start", T.LongType()), ("end", T.LongType()), ("value", T.StringType()))])
+_SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int, bytes]]:
@@ -52,51 +67,17 @@ def base_spans(text: bytes) -> list[tuple[int, int, int, bytes]]:
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
-def spans(text: bytes | None) -> tuple[list, list]:
-    """Base spans and other candidates, in code points."""
-    if not text:
-        return [], []
-    base = base_spans(text)
-    other = []
-    if len(text.translate(None, DIGITS)) < len(text):
-        for m in CANDIDATE.finditer(text):
-            if not m[0].isalpha() and any(48 <= b <= 57 for b in m[0]) and not any(a < m.end() and m.start() < b for _, a, b, _ in base):
-                other.append((3, m.start(), m.end(), m[0]))
-    if not text.isascii():
-        place = lambda i: len(text[:i].decode())
-        base, other = ([(k, place(a), place(b), v) for k, a, b, v in x] for x in (base, other))
-    return base, other
-
-
-@F.arrow_udf(T.StructType([T.StructField("base", T.ArrayType(SPAN)), T.StructField("other", T.ArrayType(SPAN))]))
-def _find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
-    for batch in texts:
-        found = [spans(t) for t in batch.cast(pa.binary()).to_pylist()]
-        columns = [[[{"kind": k, "start": a, "end": b, "value": v.decode()} for k, a, b, v in row[i]] for row in found] for i in (0, 1)]
-        yield pa.StructArray.from_arrays([pa.array(c, kind) for c in columns], names=["base", "other"])
-
-
-#: Character classes and how many characters each has; other signs are classes of their own.
-CLASSES = (("0", DIGITS.decode(), 10), ("a", "abcdef", 6), ("g", "ghijklmnopqrstuvwxyz", 20), ("A", "ABCDEF", 6), ("G", "GHIJKLMNOPQRSTUVWXYZ", 20))
-_CLASS = {c: (name, math.log(n)) for name, members, n in CLASSES for c in members}
-
-
-def symbols(value: str) -> list[tuple[str, float]]:
-    return [_CLASS.get(c, (c, 0.0)) for c in value]
-
-
 class Automaton:
     """A probabilistic automaton by state merging: states hold how often strings pass, end and go on."""
 
-    def __init__(self, values: list[str], alpha: float = 0.05):
+    def __init__(self, values: list[bytes], alpha: float = 0.05):
         self.passed, self.ended, self.next = [0], [0], [{}]
         self.margin = math.sqrt(0.5 * math.log(2 / alpha))
         self.parent: list[int] = [0]
         for value in values:
             state = 0
             self.passed[0] += 1
-            for name, _ in symbols(value):
+            for name in value.translate(_CLASS_OF):
                 if name not in self.next[state]:
                     self.next[state][name] = len(self.next)
                     for column, x in ((self.passed, 0), (self.ended, 0), (self.next, {}), (self.parent, len(self.parent))):
@@ -105,7 +86,8 @@ class Automaton:
                 self.passed[state] += 1
             self.ended[state] += 1
         self._merge()
-        self.floor = self._quantile(values)
+        found = sorted(self.likelihood(v.translate(_CLASS_OF)) / len(v) for v in values)
+        self.floor = found[int(len(found) * 0.01)] if found else 0.0
 
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
         return abs(a / n - b / m) > self.margin * (1 / math.sqrt(n) + 1 / math.sqrt(m))
@@ -156,90 +138,151 @@ class Automaton:
                 self.next[r][name] = home
                 self._fold(home, y)
 
-    def likelihood(self, value: str) -> float:
-        """Mean log-probability of a character, class and place within the class; unseen moves count as rare."""
+    def likelihood(self, pattern: bytes) -> float:
+        """Log-probability of a value of this class pattern, its end included; moves that were not seen count as rare."""
         total, state = 0.0, 0
-        found = symbols(value)
-        for name, within in found:
-            n, k = self.passed[state], len(self.next[state]) + 1
-            y = self.next[state].get(name)
-            total += math.log(((self.passed_on(state, name) if y is not None else 0) + 0.05) / (n + 0.05 * (k + 20))) - within
-            if y is None:
-                return total / len(found) - 3.0 * (1 - found.index((name, within)) / len(found))
+        for at, name in enumerate(pattern):
+            n, y = self.passed[state], self.next[state].get(name)
+            spread = n + FEW * (len(self.next[state]) + 20)
+            if y is None:  # the class is a rare one here; the value goes on as most do
+                if not self.next[state]:
+                    return total + math.log(FEW / spread) + LOST * (len(pattern) - at)
+                total += math.log(FEW / spread) - _WITHIN[name]
+                state = max(self.next[state].values(), key=self.passed.__getitem__)
+                continue
+            on = sum(self.passed[x] for x in self.next[state].values())  # of merged states, shares count
+            total += math.log(((n - self.ended[state]) * self.passed[y] / on + FEW) / spread) - _WITHIN[name]
             state = y
-        return total / max(1, len(found))
-
-    def passed_on(self, state: int, name: str) -> float:
-        y = self.next[state][name]
-        out = self.passed[state] - self.ended[state]
-        all_ = sum(self.passed[x] for x in self.next[state].values()) or 1
-        return out * self.passed[y] / all_
-
-    def _quantile(self, values: list[str], share: float = 0.01) -> float:
-        found = sorted(map(self.likelihood, values))
-        return found[int(len(found) * share)] if found else 0.0
+        return total + math.log((self.ended[state] + FEW) / (self.passed[state] + 2 * FEW))
 
 
 class Grammars:
-    """Automata of the kinds, and class frequencies of the candidates that none of them finds typical."""
+    """Automata of the kinds, and the chain of all candidates."""
 
-    def __init__(self, labelled: dict[int, list[str]], margin: float = 2.0):
+    def __init__(self, labelled: dict[int, list[bytes]]):
         self.kinds = {k: Automaton(v) for k, v in sorted(labelled.items()) if v}
-        self.margin = margin
+        self.labelled = sum(map(len, labelled.values()))
+        self.verdicts: dict[bytes, bool] = {}
         self.set_background({})
 
-    def set_background(self, counts: dict[str, int]) -> None:
-        self.counts = Counter(counts)
-        self.total = sum(self.counts.values())
+    def set_background(self, counts: dict[tuple[int, int], int]) -> None:
+        """counts of (class, class that follows it); 0 is the start and the end of a candidate."""
+        self.pairs = Counter(counts)
+        self.from_ = Counter()
+        for (a, _), n in self.pairs.items():
+            self.from_[a] += n
+        self.prior = math.log((self.labelled + 1) / (self.from_[0] + self.labelled + 1))
+
+    def background(self, pattern: bytes) -> float:
+        chain = zip(b"\0" + pattern, pattern + b"\0", strict=True)
+        return sum(math.log((self.pairs[a, b] + FEW) / (self.from_[a] + FEW * 12)) for a, b in chain) - sum(_WITHIN[c] for c in pattern)
+
+    def accepts(self, run: bytes) -> bool:
+        """Whether a run of this class pattern, without full stops at its end, is a secret."""
+        known = self.verdicts.get(run)
+        if known is None:
+            pattern = run.rstrip(b".")
+            known = len(pattern) >= SHORTEST and self._likelier(pattern)
+            if len(self.verdicts) < MOST_PATTERNS and len(run) <= LONGEST_KEY:
+                self.verdicts[run] = known
+        return known
+
+    def _likelier(self, pattern: bytes) -> bool:
+        rest = self.background(pattern)
+        return any((x := a.likelihood(pattern)) >= a.floor * len(pattern) and x + self.prior > rest for a in self.kinds.values())
+
+
+def patterns(text: bytes, base: list[tuple[int, int, int, bytes]]) -> bytes:
+    """The text as classes, with base spans and all that no candidate has blank: bytes.split() gives the candidates' patterns."""
+    flat = text.translate(_CLASS_OF)
+    if base:
+        flat = bytearray(flat)
+        for _, a, b, _ in base:
+            flat[a:b] = b" " * (b - a)
+    return bytes(flat)
+
+
+def spans(text: bytes | None, grammars: Grammars) -> tuple[list, list]:
+    """Base spans and added ones, in code points."""
+    if not text:
+        return [], []
+    base, added = base_spans(text), []
+    flat = patterns(text, base)
+    if grammars.kinds and any(grammars.accepts(p) for p in set(flat.split()) if len(p) >= SHORTEST):
+        for m in CANDIDATE.finditer(flat.replace(b" ", b"\0")):
+            if grammars.accepts(m[0]):
+                end = m.end() - (len(m[0]) - len(m[0].rstrip(b".")))
+                added.append((3, m.start(), end, text[m.start() : end]))
+    if not text.isascii():
+        place = lambda i: len(text[:i].decode())
+        base, added = ([(k, place(a), place(b), v) for k, a, b, v in x] for x in (base, added))
+    return base, added
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([SPAN["kind"], SPAN["value"]])))
+def _labelled(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string())]))
+    for batch in texts:
+        yield pa.array([[{"kind": k, "value": v.decode()} for k, _, _, v in base_spans(t)] if t else [] for t in batch.cast(pa.binary()).to_pylist()], kind)
+
+
+def _counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """a, b, n: how often class b follows class a in candidates; some rows a task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
 
-    def atypical(self, value: str) -> bool:
-        return not any(a.likelihood(value) >= a.floor for a in self.kinds.values())
+        def flush() -> pa.RecordBatch:
+            pairs: Counter = Counter()
+            for run, n in held.items():
+                pattern = run.rstrip(b".")
+                if len(pattern) >= SHORTEST:
+                    for pair in zip(b"\0" + pattern, pattern + b"\0", strict=True):
+                        pairs[pair] += n
+            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int32()), "b": pa.array([b for _, b in pairs], pa.int32()), "n": pa.array(list(pairs.values()), pa.int64())})
 
-    def background(self, value: str) -> float:
-        """Log-likelihood of the value from single character classes; low without any background."""
-        if not self.total:
-            return -math.inf
-        return sum(math.log((self.counts[name] + 0.5) / (self.total + 20)) - within for name, within in symbols(value))
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                if text:
+                    held.update(p for p in patterns(text, base_spans(text)).split() if len(p) >= SHORTEST)
+                if len(held) >= MOST_PATTERNS:
+                    yield flush()
+                    held.clear()
+        yield flush()
 
-    def accepts(self, value: str) -> bool:
-        rest = self.background(value)
-        return any((x := a.likelihood(value)) >= a.floor and len(value) * x - rest >= self.margin for a in self.kinds.values())
+    return docs.select(text_col).mapInArrow(count, "a int, b int, n bigint")
 
 
-def learn(found: DataFrame, sample: int) -> Grammars:
-    """Automata from at most `sample` distinct values of each kind, by smallest hash, and the background of all other candidates."""
-    values = found.select(F.explode(F.concat("found.base", "found.other")).alias("s")).select("s.kind", "s.value").distinct()
+def learn(docs: DataFrame, text_col: str, sample: int) -> Grammars:
+    """Automata from at most `sample` distinct values of each kind, by smallest hash, and the background of all candidates."""
+    scratch = Scratch(docs.sparkSession)
+    values = docs.select(F.explode(_labelled(F.col(text_col))).alias("s")).select("s.kind", "s.value").distinct()
+    values = scratch.write(values, "values")
     labelled = {}
     for kind in range(3):
         rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
-        labelled[kind] = sorted(r.value for r in rows)
+        labelled[kind] = sorted(r.value.encode() for r in rows)
     grammars = Grammars(labelled)
-    shared = found.sparkSession.sparkContext.broadcast(grammars)
-
-    @F.arrow_udf("array<string>")
-    def classes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([[name for name, _ in symbols(v)] if shared.value.atypical(v) else [] for v in batch.to_pylist()], pa.list_(pa.string()))
-
-    rest = values.where(F.col("kind") == 3).select(F.explode(classes("value")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    grammars.set_background({r.name: r.n for r in rest.collect()})
+    if grammars.kinds:
+        rows = _counts(docs, text_col).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # pairs of 11 classes
+        grammars.set_background({(r.a, r.b): r.n for r in rows})
+    scratch.drop()
     return grammars
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text", sample: int = 400) -> DataFrame:
     """`keep` columns of docs with arrays `base` and `added` of struct<kind,start,end,value>."""
-    scratch = Scratch(docs.sparkSession)
-    found = scratch.write(docs.select(*keep, _find(F.col(text_col)).alias("found")), "found")
-    shared = docs.sparkSession.sparkContext.broadcast(learn(found, sample))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, text_col, sample))
 
-    @F.arrow_udf("array<boolean>")
-    def accepted(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf(T.StructType([T.StructField("base", T.ArrayType(SPAN)), T.StructField("added", T.ArrayType(SPAN))]))
+    def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grammars = shared.value
-        for batch in values:
-            yield pa.array([None if v is None else [grammars.accepts(x) for x in v] for v in batch.to_pylist()], pa.list_(pa.bool_()))
+        for batch in texts:
+            found = [spans(t, grammars) for t in batch.cast(pa.binary()).to_pylist()]
+            columns = [[[{"kind": k, "start": a, "end": b, "value": v.decode()} for k, a, b, v in row[i]] for row in found] for i in (0, 1)]
+            yield pa.StructArray.from_arrays([pa.array(c, _SPAN) for c in columns], names=["base", "added"])
 
-    ok = found.withColumn("ok", accepted(F.transform("found.other", lambda x: x["value"])))
-    return ok.select(*keep, "found.base", F.filter("found.other", lambda x, i: F.element_at("ok", i + 1)).alias("added"))
+    return docs.select(*keep, find(F.col(text_col)).alias("_found")).select(*keep, "_found.base", "_found.added")
 
 
 def _joined(column):
@@ -261,6 +304,26 @@ def op9(documents: DataFrame) -> DataFrame:
     )
 
 
+def brute_added(text: str | None, grammars: Grammars) -> list[tuple[int, int]]:
+    """Added spans one candidate at a time, over characters, for tests: scores from the tables, without patterns kept."""
+    text, taken = text or "", []
+    found = []
+    for pattern, ok in ((ASSIGN, lambda m: len(m[2]) >= 6), (ACCESS, lambda m: len(m[0]) >= 20), (HEX, lambda m: len(m[0]) >= 24)):
+        wide = re.compile(pattern.pattern.decode(), re.A | (re.I if pattern is ASSIGN else 0))
+        taken += [m.span() for m in wide.finditer(text) if ok(m)]
+    blank = list(text)
+    for a, b in taken:
+        blank[a:b] = "\0" * (b - a)
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", "".join(blank)):
+        value = m[0].rstrip(".")
+        pattern = "".join(next((n.decode() for n, own in CLASSES if c.encode() in own), c) for c in value).encode()
+        if len(value) >= 6 and any(
+            a.likelihood(pattern) >= a.floor * len(value) and a.likelihood(pattern) + grammars.prior > grammars.background(pattern) for a in grammars.kinds.values()
+        ):
+            found.append((m.start(), m.start() + len(value)))
+    return found
+
+
 def brute_force(text: str | None) -> tuple[int, int, int, str]:
     """The base rules as the contract words them, over characters, for tests."""
     text = text or ""
