@@ -14,10 +14,17 @@ so runs agree whatever the partitions are.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating; what a source's bound
 (3 times its size) leaves over is shared again by weight until none is above. This water level is found by
-aggregates over the table of sources; the driver gets three numbers a round.
+aggregates over the table of sources; the driver gets three numbers a round, and a count of sources a range
+of names, from which sources get their places without being sorted in one task.
+
+Within a bucket and a source, documents that still share one probability are taken by size: each is paired with
+the group of all smaller ones, as one unit of their words, so the large ones become integral first and little is
+left to the end. (Of two single documents the smaller becomes integral, which would leave the largest one's
+words to the last draw.) Residuals of buckets, each with a probability of its own, are paired one with another.
 
 Defined cases: null or empty text has size 0 and nothing is taken; a source of size 0 has target 0;
-an empty table gives no row; rows of equal or null ids are rounded one by one.
+an empty table gives no row; rows of equal or null ids, and equal rows, are rounded one by one; very long texts
+are counted whole; names of other columns do not matter, they are not read by mix() and carried by mixed().
 """
 
 from __future__ import annotations
@@ -25,14 +32,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearspark.llm.common import Scratch
+from clearspark.llm.common import Scratch, fresh
 
 FAN = 64
 BUCKET_ROWS = 1 << 15
 PART_SOURCES = 4096
+RANGE_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -40,11 +48,30 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def places(sizes: DataFrame, scratch: Scratch, rows: int) -> DataFrame:
+    """The sources with `place`, from 0 in code point order, null last: sorted within ranges of names, which follow one another."""
+    low = (1 << 33) - 1  # monotonically_increasing_id() numbers a partition's rows in these bits
+    parts = 1 + rows // RANGE_SOURCES
+    sorted_ = sizes.repartitionByRange(parts, F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    numbered = scratch.write(sorted_.withColumn("id", F.monotonically_increasing_id()), "places")
+    part, own = F.shiftright("id", 33), F.col("id").bitwiseAND(low)
+    counts = sorted((r.part, r.n) for r in numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row a range
+    before = F.lit(0).cast("bigint")
+    starts, at = {}, 0
+    for k, n in counts:
+        starts[k], at = at, at + n
+    if len(starts) > 1:
+        before = F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), part).cast("bigint")
+    return numbered.withColumn("place", before + own).drop("id")
+
+
 def targets(sizes: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """source, source_size -> with target. One row a source."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    scratch = Scratch(sizes.sparkSession)
+    sizes = scratch.write(sizes, "sources")
+    rank = F.col("place")
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), (rank % len(weights) + 1).cast("int")).cast("double")
-    table = sizes.withColumn("weight", w)
+    table = places(sizes, scratch, sizes.count()).withColumn("weight", w).drop("place")
     bound = F.col("source_size").cast("double") * most
     level, capped = None, -1
     while True:
@@ -150,18 +177,20 @@ def _round(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node", "part").applyInArrow(fold, SCHEMA)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """One row a row of docs: doc_id, source, size, source_size, target, copies."""
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0, keep: str | None = None) -> DataFrame:
+    """One row a row of docs: doc_id, source, size, source_size, target, copies; `kept` is the column `keep`."""
     scratch = Scratch(docs.sparkSession)
-    sized = scratch.write(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "sizes")
+    kept = [F.col(keep).alias("kept")] if keep else []
+    sized = scratch.write(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("h"), *kept), "sizes")
     sources = scratch.write(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     n = sized.count()
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     many = sources.count()
     rows = (
         sized.join(F.broadcast(sources) if many <= 10_000 else sources, sized.source.eqNullSafe(sources.source))
-        .select("doc_id", sized.source, "size", "source_size", "target", F.floor(rate).cast("int").alias("whole"), (rate - F.floor(rate)).alias("p"))
-        .withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 2))
+        .select("doc_id", sized.source, "size", "source_size", "target", "h", *(["kept"] if keep else []), F.floor(rate).cast("int").alias("whole"), (rate - F.floor(rate)).alias("p"))
+        .withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size", "h"), 2))
+        .drop("h")
     )
     # each row gets a number of its own only to be found again; of equal rows any may get any result
     rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
@@ -185,18 +214,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     chosen = decided[0]
     for x in decided[1:]:
         chosen = chosen.unionByName(x)
-    return rows.join(chosen, "row", "left").select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies"))
+    copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies")
+    return rows.join(chosen, "row", "left").select("doc_id", "source", "size", "source_size", "target", copies, *(["kept"] if keep else []))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; rows it takes 0 times are left out."""
-    named = docs.withColumn("_cs_id", F.xxhash64(id_col, source_col, text_col))
-    taken = mix(named, "_cs_id", source_col, text_col, seed).where("copies > 0").select(F.col("doc_id").alias("_cs_id"), "copies")
-    # rows that are equal share an id: their copies are summed, and one of them carries all
-    taken = taken.groupBy("_cs_id").agg(F.sum("copies").alias("_cs_copies"))
-    rows = named.dropDuplicates(["_cs_id"]).join(taken, "_cs_id")
-    return rows.withColumn("_cs_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "_cs_copies"))).drop("_cs_id", "_cs_copies")
+    """docs with each row repeated as often as the mix takes it; rows it takes 0 times are left out.
+
+    Rows are numbered once and written, so a row is found again by its number, whatever else agrees with it.
+    """
+    scratch, row, copies = Scratch(docs.sparkSession), fresh(docs, "row"), fresh(docs, "copies")
+    numbered = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered, id_col, source_col, text_col, seed, keep=row).where("copies > 0").select(F.col("kept").alias(row), F.col("copies").alias(copies))
+    return numbered.join(taken, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).drop(row, copies)
 
 
 def op10(documents: DataFrame) -> DataFrame:
     return mix(documents).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def target_table(documents: DataFrame) -> DataFrame:
+    """source, source_size, target: what the mix aims at, without the draws."""
+    sizes = documents.select("source", n_words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    return targets(sizes).select("source", "source_size", "target")
+
+
+def target_oracle(most: int = 3) -> str:
+    """Targets in closed form, in DuckDB: sources by the level that fills them; the first level below the next bound holds."""
+    return f"""
+WITH sized AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS source_size FROM documents GROUP BY source),
+weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sized),
+ranked AS (SELECT *, {most} * source_size / weight AS full_at, row_number() OVER (ORDER BY {most} * source_size / weight, source) AS k FROM weighed),
+levels AS (SELECT k, full_at, (sum(source_size) OVER () - {most} * (sum(source_size) OVER (ORDER BY k) - source_size)) / (sum(weight) OVER () - sum(weight) OVER (ORDER BY k) + weight) AS level FROM ranked),
+held AS (SELECT min(level) AS level FROM levels WHERE k = (SELECT min(k) FROM levels WHERE level <= full_at))
+SELECT source, source_size, least({most} * source_size, coalesce(level, 0) * weight)::DOUBLE AS target FROM weighed, held"""
