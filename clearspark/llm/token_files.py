@@ -3,20 +3,24 @@
 A shard is one Arrow IPC file. Each record batch holds equal-length sequences: `ids`, a
 fixed-size list of unsigned 16- or 32-bit ids, and `mask`, a fixed-size list of bits (0 only in the
 padding of a shard's last sequence). All values lie flat in one buffer, so sequence i of a batch is
-a zero-copy slice. The documents' places stand in a second file beside it.
+a zero-copy slice; a shard in a file system of the machine is mapped into memory and nothing of it is copied. The
+documents' places stand in a second file beside it.
 
-Texts are dealt to shards by ranges of doc_id and encoded in each task. A shard is written under a
-name of its own attempt and then renamed, so a task that runs again, or twice, leaves one whole
-file. Executors reach the folder through pyarrow.fs, by the URI that the session names, so the folder can be
+Texts are dealt to shards by ranges of doc_id and encoded in each task. A file is written once, under a name
+of its task's attempt, and never renamed or written over, which suits stores without a rename. The attempt that
+counts is the one whose row Spark returns; op5() then deletes what other attempts have left. Executors reach the
+folder through pyarrow.fs, by the URI that the session names, so the folder can be
 on any store that pyarrow knows. What comes to the driver is one row a shard.
 
 Encoding: a text is cut before each single space that is followed by a letter, digit or ASCII sign.
 The split pattern of the tokenizer starts a pre-token at exactly such a space, so the ids of the
-chunks, joined, are the ids of the text. Chunks are encoded by the library, and remembered up to a
-fixed number.
+chunks, joined, are the ids of the text. Chunks are encoded by the library, and remembered by the Python worker, from
+task to task, up to a fixed number of chunks of bounded length.
 
 Defined cases: null text is empty and still gets its end id; rows with a null doc_id come last;
-rows of equal doc_id stand together, ordered by text; an empty table writes no shard and gives no row.
+rows of equal doc_id stand together, ordered by text; texts of any length are encoded whole; other columns are not
+read; an empty table writes no shard and gives no row. Ranges of doc_id are cut by a sample, so rows of one id, or
+without one, are dealt to one shard: its size is bounded by theirs, its memory by a batch's.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearspark.llm.common import Scratch, text_bytes
+from clearspark.llm.common import LONGEST_KEY, Scratch, text_bytes
 from clearspark.llm.token_counts import byte_alphabet
 
 LENGTH = 2048
@@ -68,7 +72,7 @@ class Encoder(dict):
         got = self.pieces.get(piece)
         if got is None:
             got = b"".join([self.bytes_of[t.id] for t in self.model.tokenize(piece.decode("latin-1").translate(self.table))])
-            if len(self.pieces) < self.most:
+            if len(self.pieces) < self.most and len(piece) <= LONGEST_KEY:
                 self.pieces[piece] = got
         return got
 
@@ -88,7 +92,7 @@ class Encoder(dict):
             first, *rest = chunk.split(b"\n")
             return b"".join([self[first], *(x for line in rest for x in (self.piece(b"\n"), self.bare(line)))])
         got = self.run(b" " + chunk)
-        if len(self) < self.most:
+        if len(self) < self.most and len(chunk) <= LONGEST_KEY:
             self[chunk] = got
         return got
 
@@ -97,7 +101,7 @@ class Encoder(dict):
         got = self.starts.get(chunk)
         if got is None:
             got = self.run(chunk)
-            if len(self.starts) < self.most:
+            if len(self.starts) < self.most and len(chunk) <= LONGEST_KEY:
                 self.starts[chunk] = got
         return got
 
@@ -114,6 +118,24 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else f"file://{uri[5:]}")
 
 
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def _encoder(path: str, kind: str) -> Encoder:
+    """The encoder that a Python worker keeps from task to task."""
+    if (path, kind) not in _encoders:
+        _encoders.clear()
+        _encoders[path, kind] = Encoder(path, kind)
+    return _encoders[path, kind]
+
+
+def _open(store, path: str):
+    """A shard for reading: mapped where it lies in the machine's own file system."""
+    from pyarrow import fs
+
+    return pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
+
+
 class ShardWriter:
     """Cuts a stream of documents' ids into fixed-length sequences and writes them as record batches."""
 
@@ -204,14 +226,14 @@ def write_shards(
         ids, starts, sizes, at = [], [], [], 0
         kind = "<u2" if small else "<u4"
         store, base = _store(folder)
-        temporary, final = f"{base}/_{shard}-{attempt}.arrow", f"{base}/shard-{shard:06d}.arrow"
+        name = f"{base}/shard-{shard:06d}-{attempt}.arrow"
         for batch in batches:
             if not batch.num_rows:
                 continue
             if writer is None:
                 store.create_dir(base, recursive=True)
-                sink = store.open_output_stream(temporary)
-                encoder, writer = Encoder(tokenizer, kind), ShardWriter(sink, kind, length)
+                sink = store.open_output_stream(name)
+                encoder, writer = _encoder(tokenizer, kind), ShardWriter(sink, kind, length)
                 end = np.array([end_id], kind).tobytes()
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 got = encoder.encode(text) + end
@@ -225,12 +247,10 @@ def write_shards(
         writer.close()
         sink.close()
         places = pa.table({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})
-        with store.open_output_stream(f"{temporary}.places") as out, pa.ipc.new_file(out, places.schema) as file:
+        with store.open_output_stream(f"{name}.places") as out, pa.ipc.new_file(out, places.schema) as file:
             file.write_table(places)
-        store.move(f"{temporary}.places", f"{final}.places")
-        store.move(temporary, final)
         yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "file": final, "n_docs": len(ids), "n_tokens": at}],
+            [{"shard": shard, "file": name, "n_docs": len(ids), "n_tokens": at}],
             pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
         )
 
@@ -250,9 +270,9 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
         store, _ = _store(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                with store.open_input_file(f"{row['file']}.places") as f:
+                with _open(store, f"{row['file']}.places") as f:
                     places = pa.ipc.open_file(f).read_all().to_pydict()
-                with store.open_input_file(row["file"]) as f:
+                with _open(store, row["file"]) as f:
                     reader = ShardReader(f)
                     crc = [
                         zlib.crc32(reader.ids(a, n).astype("<u4").tobytes())
@@ -268,11 +288,22 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     return shards.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def _tidy(folder: str, kept: set[str]) -> None:
+    """Deletes what attempts have left whose rows did not count."""
+    from pyarrow import fs
+
+    store, base = _store(folder)
+    for info in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if info.is_file and info.base_name.startswith("shard-") and info.base_name.removesuffix(".places") not in kept:
+            store.delete_file(info.path)
+
+
 def op5(documents: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
     """Writes all documents' ids, reads the files back and returns the digest of the contract."""
     spark = documents.sparkSession
     folder = folder or Scratch(spark).path("tokens")
     rows = sorted(write_shards(documents, tokenizer, folder).collect())  # one row a shard
+    _tidy(folder, {r.file.rsplit("/", 1)[-1] for r in rows})
     first, shards = 0, []
     for r in rows:
         shards.append((r.shard, r.file, first))
