@@ -3,16 +3,20 @@
 A block is a line of a text, or, wherever lines break, as many consecutive words of the whole text as the template
 has (a template wrapped over lines is such a window). A template matches a block if at least `threshold` of the
 template's distinct words are in the block. Words of templates are ordered by how many documents hold them, counted
-over the whole table, rare ones first. With a needed overlap of t words, one of the first |T| - t + 1
-of a template must be in the block (prefix filter), the block needs t distinct words (length filter), and from
-the place of the first shared word on, enough of the template must be left (position filter). The prefix filter is
+over the whole table, rare ones first; a block is the set of its template words in this order. With a needed overlap
+of t words, one of the first |T| - t + 1 of a template must be in the block (prefix filter), the block needs t such
+words (length filter), and the first shared word must leave t words in the block's own order too: it is among
+the block's first |B| - t + 1 (position filter). The prefix filter is
 tried on the whole text before it is cut to blocks. A window that starts with a template word is tried only if
 enough words of the template stand in it. What passes is compared exactly. Templates are a fixed list,
 so the join needs no shuffle; the one aggregate has a row for each template word.
 
 Base labels are the phrases' places: words standing consecutively.
 
-Defined cases: null text is empty and has no word; a block or document without words matches nothing; rows are judged one by one.
+Defined cases: null text is empty and has no word; a block or document without words matches nothing; texts of any length
+are read whole; rows are judged one by one, equal rows alike; templates that share a label and reach the same score
+give it once; an empty table gives no row; other columns are carried, but for those named like the added ones, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clearspark.llm.common import fresh
+
 #: Base phrases and their labels. Fixed values.
 PHRASES = (
     ("gnu general public license", "gpl"),
@@ -55,27 +61,26 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lowered(text), SPLIT), lambda w: w != "")
 
 
-def orders(docs: DataFrame, text_col: str, threshold: float) -> list[tuple[str, list[str], int, int]]:
-    """Templates as (label, words rare first, needed overlap, length in words), by document frequency over all rows."""
+def orders(docs: DataFrame, text_col: str, threshold: float) -> tuple[list[str], list[tuple[str, list[str], int, int]]]:
+    """All template words, rare first by document frequency over all rows, and the templates as (label, words in that
+    order, needed overlap, length in words)."""
     own = sorted({w for t, _ in TEMPLATES for w in t.split()})
     held = F.array_intersect(words(F.col(text_col)), F.array(*map(F.lit, own)))
     counts = {r.word: r.n for r in docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    own.sort(key=lambda w: (counts.get(w, 0), w))
     out = []
     for text, label in TEMPLATES:
-        distinct = sorted(set(text.split()), key=lambda w: (counts.get(w, 0), w))
+        distinct = sorted(set(text.split()), key=own.index)
         out.append((label, distinct, max(1, -int(-len(distinct) * threshold // 1)), len(text.split())))
-    return out
+    return own, out
 
 
 def _containment(block: Column, template: list[str], need: int) -> Column:
-    """Shared share of the template's words, or null where a filter shows that `need` can't be reached."""
-    size = len(template)
-    prefix = F.array(*map(F.lit, template[: size - need + 1]))
-    all_ = F.array(*map(F.lit, template))
-    # where the first shared word stands in the template, `need` words must be left: the prefix is just those places
-    passes = (F.size(block) >= need) & F.arrays_overlap(block, prefix)
-    shared = F.size(F.array_intersect(all_, block))
-    return F.when(passes & (shared >= need), shared / size)
+    """Shared share of the template's words, or null where a filter shows that `need` can't be reached. block: template words, rare first."""
+    prefix = F.array(*map(F.lit, template[: len(template) - need + 1]))
+    first = F.slice(block, 1, F.greatest(F.size(block) - (need - 1), F.lit(0)))  # where the first shared word may stand in the block
+    shared = F.size(F.array_intersect(block, F.array(*map(F.lit, template))))
+    return F.when((F.size(block) >= need) & F.arrays_overlap(first, prefix) & (shared >= need), shared / len(template))
 
 
 def _window_containment(hits: Column, template: list[str], need: int, length: int) -> Column:
@@ -104,45 +109,45 @@ def _window_containment(hits: Column, template: list[str], need: int, length: in
 
 def matches(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, out: str = "found") -> DataFrame:
     """docs with array `out` of struct<label, score>: the best containment of each template that some block reaches."""
-    templates = orders(docs, text_col, threshold)
+    own, templates = orders(docs, text_col, threshold)
     rare = sorted({w for _, t, need, _ in templates for w in t[: len(t) - need + 1]})
-    own = sorted({w for _, t, _, _ in templates for w in t})
     tried = f"(?i)(?<![a-z0-9\\x{{80}}-\\x{{10FFFF}}])(?:{'|'.join(rare)})(?![a-z0-9\\x{{80}}-\\x{{10FFFF}}])"
-    blocks = F.filter(
-        F.transform(F.split(F.col(text_col), "\n"), lambda x: F.array_distinct(words(x))),
-        lambda b: F.arrays_overlap(b, F.array(*map(F.lit, rare))),
-    )
+    ranked = F.array(*map(F.lit, own))
+    blocks = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.array_intersect(ranked, words(x))), lambda b: F.size(b) > 0)
     hits = F.filter(F.transform(words(F.col(text_col)), lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(*own))
-    line = lambda t, need: F.array_max(F.transform("_blocks", lambda b: _containment(b, t, need)))
-    best = lambda t, need, n: F.greatest(line(t, need), _window_containment(F.col("_hits"), t, need, n))
+    at_lines, at_hits = fresh(docs, "blocks"), fresh(docs, "hits")
+    line = lambda t, need: F.array_max(F.transform(at_lines, lambda b: _containment(b, t, need)))
+    best = lambda t, need, n: F.greatest(line(t, need), _window_containment(F.col(at_hits), t, need, n))
     scores = F.array(*[F.struct(F.lit(label).alias("label"), best(t, need, n).alias("score")) for label, t, need, n in templates])
     may = F.col(text_col).rlike(tried)
-    found = docs.withColumns({"_blocks": F.when(may, blocks), "_hits": F.when(may, hits)})
-    return found.withColumn(out, F.coalesce(F.filter(scores, lambda x: x["score"].isNotNull()), F.array().cast("array<struct<label:string,score:double>>"))).drop("_blocks", "_hits")
+    found = docs.withColumns({at_lines: F.when(may, blocks), at_hits: F.when(may, hits)})
+    none = F.array().cast("array<struct<label:string,score:double>>")
+    return found.withColumn(out, F.coalesce(F.filter(scores, lambda x: x["score"].isNotNull()), none)).drop(at_lines, at_hits)
 
 
 def phrases(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, n_base, first_word, last_word and base_labels (a sorted array)."""
     all_words = words(F.col(text_col))
     joined = F.concat(F.lit(" "), F.array_join(all_words, " "), F.lit(" "))
-    found = docs.withColumn("_w", F.when(F.col(text_col).rlike(r"(?i)license|cc"), joined)).withColumn(
+    name = fresh(docs, "joined")
+    found = docs.withColumn(name, F.when(F.col(text_col).rlike(r"(?i)license|cc"), joined)).withColumn(
         "n_words", F.coalesce(F.size(all_words), F.lit(0)).cast("bigint")
     )
     found = found.withColumn("n_words", F.when(F.col(text_col).isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n_words")))
     spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
     counts, firsts, lasts, labels = [], [], [], []
     for phrase, label in PHRASES:
-        held = F.coalesce(F.contains("_w", F.lit(f" {phrase} ")), F.lit(False))
-        counts.append(F.when(held, F.regexp_count("_w", F.lit(f" {phrase}(?= )"))).otherwise(0))
-        firsts.append(F.when(held, spaces(F.substring_index("_w", f" {phrase} ", 1))))
-        lasts.append(F.when(held, F.col("n_words") - spaces(F.substring_index("_w", f" {phrase} ", -1)) - len(phrase.split())))
+        held = F.coalesce(F.contains(F.col(name), F.lit(f" {phrase} ")), F.lit(False))
+        counts.append(F.when(held, F.regexp_count(name, F.lit(f" {phrase}(?= )"))).otherwise(0))
+        firsts.append(F.when(held, spaces(F.substring_index(name, f" {phrase} ", 1))))
+        lasts.append(F.when(held, F.col("n_words") - spaces(F.substring_index(name, f" {phrase} ", -1)) - len(phrase.split())))
         labels.append(F.when(held, F.lit(label)))
     return found.withColumns({
         "n_base": sum(counts[1:], counts[0]).cast("bigint"),
         "first_word": F.array_min(F.array(*firsts)).cast("bigint"),
         "last_word": F.array_max(F.array(*lasts)).cast("bigint"),
         "base_labels": F.array_sort(F.array_compact(F.array(*labels))),
-    }).drop("_w")
+    }).drop(name)
 
 
 def op7(documents: DataFrame) -> DataFrame:
