@@ -68,6 +68,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10(_table(spark, sf_dir, "documents"))
 
 
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.target_table(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1,
     "op2_token_counts": op2,
@@ -79,6 +83,14 @@ QUERIES = {
     "op8_jaccard_join": op8,
     "op9_secrets_scan": op9,
     "op10_mixing": op10,
+    # what of an operator SQL can say, by itself
+    "mixing_targets": targets,
 }
 
-ORACLES: dict[str, str] = {"op7_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.oracle(),
+    "op4_substring_dedup": substring_dedup.oracle(),
+    "op7_license_scan": license_scan.oracle(),
+    "op8_jaccard_join": jaccard_join.oracle(),
+    "mixing_targets": mixing.target_oracle(),
+}
