@@ -776,20 +776,33 @@ def test_odd_rows_op10(odd_rows, no_rows):
     assert mixing.op10(no_rows).collect() == [] == mixing.mixed(no_rows).collect()
 
 
-def test_a_cluster_needs_a_shared_folder(spark, monkeypatch, tmp_path):
-    from clearspark.llm import common
-
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://far:7077")
-    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: None)
-    with pytest.raises(RuntimeError):
-        Scratch(spark)
-    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: f"{tmp_path}/")
-    assert common.shared_folder(spark) == str(tmp_path)
+class Session:
+    """A session by what it names: its master, spark.checkpoint.dir, and the folder of setCheckpointDir()."""
+
+    def __init__(self, master, conf=None, folder=None):
+        self.sparkContext, self.master, self.conf, self.named = self, master, self, conf
+        self.getCheckpointDir, self.get = (lambda: folder), (lambda key, default: conf if conf else default)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from clearspark.llm.common import shared_folder
+
+    for master in ("spark://far:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            shared_folder(Session(master))
+        assert shared_folder(Session(master, "hdfs://a/b/")) == "hdfs://a/b" and shared_folder(Session(master, None, "s3a://c")) == "s3a://c"
+    assert shared_folder(Session("local[4]"))
+
+
+def test_scopes_drop_what_was_written_in_them(spark):
+    import os
+
     with Scratch.scope():
         scratch = Scratch(spark)
         scratch.write(spark.range(3), "t")
-        assert list(tmp_path.iterdir())
-    assert not list(tmp_path.glob("clearspark-*"))
+        folder = scratch.root.removeprefix("file:")
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
 
 
 def test_shards_are_written_once_and_tidied(spark, tmp_path, tokenizer):
