@@ -3,7 +3,7 @@
 1. quality       documents that the nearest-neighbour classifier rejects (score under 0.7) go
 2. near_copies   of each group of linked documents (3-word shingles, Jaccard 0.9) the smallest doc_id stays
 3. contamination documents over the benchmark's coverage limit go; others stay as they are
-4. mixing        documents are repeated, or left out, as target weights of their sources ask
+4. mixing        documents are repeated, or left out, as target weights of their sources ask; every column stays as it is
 5. token_files   token ids are written to Arrow files and read back: doc_id, start, n_tokens, ids_crc32
 
 All but the last return the columns of documents. Nulls, empty texts, equal rows and empty tables are
@@ -52,8 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
+    """The stages over documents. What a stage needs only itself goes when its result is written, and so does its input."""
+    scratch, before = Scratch(spark), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with Scratch.scope():
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
