@@ -47,15 +47,22 @@ LATIN_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^ \
 NOT_LATIN = re.compile(rf"[^\x00-\x7f{LATIN}]")
 #: A space starts a chunk only before these bytes: ASCII signs and first bytes of U+00C0 to U+027F, where no white space is.
 SAFE = re.compile(rb" (?=[\x21-\x7e\xc3-\xc9])")
+#: Signs that end a word and are a pre-token of their own there.
+MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 UNSAFE = re.compile(rb" (?![\x21-\x7e\xc3-\xc9])")
 #: Lines that can be encoded one by one: no white space at their ends, so the line break between is a pre-token.
 LINES = re.compile(rb"[^ \t-\r\x80-\xff](?:[^ \t-\r]*[^ \t-\r\x80-\xff])?(?:\n[^ \t-\r\x80-\xff](?:[^ \t-\r]*[^ \t-\r\x80-\xff])?)+")
 
 
+def latin_word(chunk: bytes) -> bool:
+    """Letters of ASCII and the Latin blocks alone: one pre-token."""
+    return len(chunk) <= LONGEST_KEY and (word := chunk.decode()).isalpha() and not NOT_LATIN.search(word)
+
+
 class Encoder(dict):
     """chunk (without its leading space) -> its ids as little-endian bytes, the library's model doing the work."""
 
-    def __init__(self, path: str, kind: str, most: int = 400_000):
+    def __init__(self, path: str, kind: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -67,12 +74,17 @@ class Encoder(dict):
         self.bytes_of = [x.tobytes() for x in ids]
         self.pieces: dict[bytes, bytes] = {}
         self.starts: dict[bytes, bytes] = {}
+        self.space = self.letters[0x20]
+
+    def tokens(self, letters: str) -> bytes:
+        """Ids of one pre-token, in the letters of the byte alphabet."""
+        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(letters)])
 
     def piece(self, piece: bytes) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = b"".join([self.bytes_of[t.id] for t in self.model.tokenize(piece.decode("latin-1").translate(self.table))])
-            if len(self.pieces) < self.most and len(piece) <= LONGEST_KEY:
+            got = self.tokens(piece.decode("latin-1").translate(self.table))
+            if len(self.pieces) < self.most // 2 and len(piece) <= LONGEST_KEY:
                 self.pieces[piece] = got
         return got
 
@@ -88,10 +100,17 @@ class Encoder(dict):
         return np.array(ids, self.kind).tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if b"\n" in chunk and LINES.fullmatch(chunk):
+        if chunk.isalpha():  # ASCII letters: one pre-token, and letters of the byte alphabet as they are
+            got = self.tokens(self.space + chunk.decode())
+        elif chunk[-1:] in MARKS and (chunk[:-1].isalpha() or latin_word(chunk[:-1])):
+            got = self[chunk[:-1]] + self.piece(chunk[-1:])
+        elif b"\n" in chunk and LINES.fullmatch(chunk):
             first, *rest = chunk.split(b"\n")
             return b"".join([self[first], *(x for line in rest for x in (self.piece(b"\n"), self.bare(line)))])
-        got = self.run(b" " + chunk)
+        elif latin_word(chunk):
+            got = self.tokens((b" " + chunk).decode("latin-1").translate(self.table))
+        else:
+            got = self.run(b" " + chunk)
         if len(self) < self.most and len(chunk) <= LONGEST_KEY:
             self[chunk] = got
         return got
@@ -100,8 +119,8 @@ class Encoder(dict):
         """Ids of a chunk without a space before it."""
         got = self.starts.get(chunk)
         if got is None:
-            got = self.run(chunk)
-            if len(self.starts) < self.most and len(chunk) <= LONGEST_KEY:
+            got = self.tokens(chunk.decode()) if chunk.isalpha() else self.run(chunk)
+            if len(self.starts) < self.most // 2 and len(chunk) <= LONGEST_KEY:
                 self.starts[chunk] = got
         return got
 
