@@ -17,8 +17,11 @@ from clearspark.llm.common import Scratch
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """v, m: the smallest neighbour below each vertex that has one. Shuffled as a table of its own, so a skewed join can split."""
-    return edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).repartition("v")
+    """v, m: the smallest neighbour below each vertex that has one.
+
+    Dealt by another expression than it is joined by, so the join shuffles it by itself and can split where it is skewed.
+    """
+    return edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).repartition(F.xxhash64("v"))
 
 
 def _large(edges: DataFrame) -> DataFrame:
