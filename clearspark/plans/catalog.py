@@ -518,8 +518,13 @@ def sentence_split(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(corpus.sentences(F.col("text"))).alias("ix", "sentence"))
 
 
-@query()
+@query(r"""WITH shown AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<![^>]*>', '', 'g'),
+  '(?i)</?(?:p|li|h[1-4]|blockquote|div|br)(?:\s[^>]*)?/?>', chr(1), 'g'), '</?[A-Za-z][^>]*>', '', 'g') AS t FROM pages),
+plain AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM shown),
+cut AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(regexp_replace(x, '[\s\x{a0}]+', ' ', 'g'))), lambda x: x <> '') AS ps FROM plain)
+SELECT page_id, unnest(ps) AS paragraph, unnest(range(len(ps)))::INT AS ix FROM cut""")
 def html_paragraphs(spark, sf_dir):
+    """Visible paragraphs of raw pages."""
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", F.posexplode(sources.html_paragraphs(F.col("html"))).alias("ix", "paragraph"))
 

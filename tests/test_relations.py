@@ -111,11 +111,6 @@ def test_evaluation(spark):
     assert pr == {"base64": (1.0, 1.0), "leetspeak": (0.0, None), "reverse": (None, 0.0)}
 
 
-def test_corpus():
-    assert corpus.sentences_of('Dr. Smith left. "Why?" He said so. 7 came') == ["Dr. Smith left.", '"Why?"', "He said so.", "7 came"]
-    assert corpus.sentences_of("") == []
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "g.txt").write_text("total 10\nabcd\t4\nbcde\t2\n")
     assert sorted(tuple(r) for r in sources.gram_table(spark, str(tmp_path / "g.txt")).collect()) == [("abcd", 4, 10), ("bcde", 2, 10)]
@@ -123,7 +118,6 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in sources.script_ranges(spark, str(tmp_path / "s.txt")).orderBy("lo").collect()] == [(65, 90, "Latin"), (880, 1023, "Greek")]
     (tmp_path / "a.jsonl").write_text('{"id": "1", "text": "x", "expected": null, "tricks": ["hex"]}\n')
     assert sources.samples(spark, str(tmp_path / "a.jsonl")).first().tricks == ["hex"]
-    assert sources.paragraphs_of("<p>one <b>two</b></p><script>x</script><div>3 &amp; 4<br>5</div>") == ["one two", "3 & 4", "5"]
     lines = spark.createDataFrame([("f", i, v) for i, v in enumerate(["1: clean one", "> d1rty one", "2: same", "> same", "", "3: three", "> 1: other"])], "file string, ix int, value string")
     assert sorted((r.n, r.text) for r in sources.answer_pairs(lines).collect()) == [(1, "d1rty one"), (1, "other")]
     books = spark.createDataFrame([("head\n*** START OF BOOK ***\n\nFirst\nline.\n\nSecond.\n*** END OF BOOK ***",)], "text string")
@@ -134,3 +128,44 @@ def test_sources(spark, tmp_path):
     assert [r.link for r in sources.licensed_posts(posts).collect()] == ["l"]
     (tmp_path / "sms.txt").write_text("ham\thello \"there\nspam\twin\n")
     assert [r.text for r in sources.messages(spark, str(tmp_path / "sms.txt")).collect()] == ['hello "there']
+
+
+SENTENCES = {
+    'Dr. Smith left. "Why?" He said so. 7 came': ["Dr. Smith left.", '"Why?"', "He said so.", "7 came"],
+    "": [],
+    " \n ": [],
+    "One line.\nMr.\nTwo": ["One line.", "Mr.", "Two"],
+    "See fig. 3 and vol. 2. J. R. Smith  wrote it.  (It is so.) Yes!": ["See fig. 3 and vol. 2. J. R. Smith  wrote it.", "(It is so.)", "Yes!"],
+    "It was 5 p.m. They left... Then? ‘No.’ Ok": ["It was 5 p.m. They left...", "Then?", "‘No.’", "Ok"],
+    "the end. lower case. Next": ["the end. lower case.", "Next"],
+    "Wow!. Is it (e.g. A)? Plan B. Then C": ["Wow!.", "Is it (e.g. A)?", "Plan B. Then C"],
+    "Inc. Next. MRS. Jones and Co.\u2003Went": ["Inc. Next.", "MRS. Jones and Co.\u2003Went"],
+    "no mark at all": ["no mark at all"],
+}
+
+
+def test_sentences(spark):
+    rows = spark.createDataFrame(list(enumerate([*SENTENCES, None])), "k int, text string").select("k", corpus.sentences(F.col("text")).alias("s")).collect()
+    got = {r.k: r.s for r in rows}
+    assert [got[k] for k in range(len(got))] == [*SENTENCES.values(), None]
+
+
+PAGES = {
+    "<p>one <b>two</b></p><script>x</script><div>3 &amp; 4<br>5</div>": ["one two", "3 & 4", "5"],
+    "": [],
+    "plain &lt;b&gt; &eacute;&#33;&#x3f;&hellip; text\n\xa0 \tends": ["plain <b> é!?… text ends"],
+    "a<pre>hidden <b>too</b></pre>b<PRE\nclass='x'>c<p>d</PRE>e": ["ab", "e"],
+    "<pre>1<pre>2</pre>3</pre>4<pre>open <li> end": ["4"],
+    "<script>if (a < b) { '<p>' }</script>x<style>p > a {}</style ><!-- <p> -->y": ["xy"],
+    "<a href='x>y' title=\"<p>\">link</a><br/>next<BR>last</LI>": ["link", "next", "last"],
+    "<title>T</title><table><tr><td>1</td><td>2</td></table><h1>H</h1><h5>five</h5>": ["T12", "H", "five"],
+    "<blockquote>q</blockquote><pretty>p</pretty><link>l": ["q", "pl"],
+    "1 < 2 and 3 > 2<!doctype html>": ["1 < 2 and 3 > 2"],
+    "</pre>x<p></p><p> </p><p>y": ["x", "y"],
+}
+
+
+def test_html_paragraphs(spark):
+    rows = spark.createDataFrame(list(enumerate([*PAGES, None])), "k int, html string").select("k", sources.html_paragraphs(F.col("html")).alias("p")).collect()
+    got = {r.k: r.p for r in rows}
+    assert [got[k] for k in range(len(got))] == [*PAGES.values(), None]
