@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clearspark.functions import text as T
 from clearspark.kernel.lexicon import Resources
+from clearspark.scratch import Scratch
 
 BROADCAST_ROWS = 1_000_000
 
@@ -21,8 +22,11 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
-def build_lexicon(docs: DataFrame, min_docs: int = 5, text: str = "text") -> DataFrame:
-    """word, n_docs: small-letter words of two letters and more that stand in at least `min_docs` documents."""
+def build_lexicon(docs: DataFrame, min_docs: int = 5, text: str = "text", one_in: int | None = None) -> DataFrame:
+    """word, n_docs: small-letter words of two letters and more that stand in at least `min_docs` documents, and, with
+    `one_in`, in one of so many: then there are at most so many times the mean number of distinct words a document has."""
+    if one_in:
+        min_docs = max(min_docs, docs.count() // one_in)
     found = docs.select(F.explode(F.array_distinct(T.words(F.lower(text)))).alias("word"))
     return found.where(F.length("word") > 1).groupBy("word").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
@@ -83,11 +87,20 @@ def english_score(docs: DataFrame, lexicon: DataFrame, grams: DataFrame, text: s
     return both.select(key, F.coalesce(F.when((F.col("total") > 0) & F.col("fit").isNotNull(), score), F.lit(0.0)).alias("score"))
 
 
+def stored(table: DataFrame) -> DataFrame:
+    """The table, worked out once and written to the shared folder: to be read by several jobs, and counted for nothing."""
+    return Scratch(table.sparkSession).write(table, "table")
+
+
 def resources(lexicon: DataFrame, grams: DataFrame, lookalikes: dict[str, str] | None = None, most_words: int = 2_000_000, **scale) -> Resources:
-    """The kernel's inputs from tables. Both are dictionaries of a language; a table over the bound is an error, not cut."""
-    if lexicon.limit(most_words + 1).count() > most_words or grams.limit(most_words + 1).count() > most_words:
+    """The kernel's inputs from tables. Both are dictionaries of a language; a table over the bound is an error, not cut.
+
+    Each table is worked out once. A lexicon of the words that stand in a given share of all documents, and sequences of a
+    few letters, stay under a bound that does not depend on the number of documents.
+    """
+    words = lexicon.select("word").limit(most_words + 1).collect()
+    rows = grams.select("gram", "cnt", "total").limit(most_words + 1).collect()
+    if max(len(words), len(rows)) > most_words:
         raise ValueError(f"more than {most_words} words or sequences")
-    counts = {r.gram: r.cnt for r in grams.collect()}
-    total = grams.select("total").first()
     extra = {"lookalikes": lookalikes} if lookalikes else {}
-    return Resources(frozenset(r.word for r in lexicon.select("word").collect()), counts, total.total if total else 0, **extra, **scale)
+    return Resources(frozenset(r.word for r in words), {r.gram: r.cnt for r in rows}, rows[0].total if rows else 0, **extra, **scale)

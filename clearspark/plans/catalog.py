@@ -44,12 +44,23 @@ def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", "role")
 
 
+_kept: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    """What several queries over the same tables need, built once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
 def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.build_lexicon(_docs(spark, sf_dir).where("lang = 'en'"))
+    return _once(spark, sf_dir, "lexicon", lambda: scoring.stored(scoring.build_lexicon(_docs(spark, sf_dir).where("lang = 'en'"))))
 
 
 def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.build_grams(_docs(spark, sf_dir).where("lang = 'en'"))
+    return _once(spark, sf_dir, "grams", lambda: scoring.stored(scoring.build_grams(_docs(spark, sf_dir).where("lang = 'en'"))))
 
 
 def _n(column: Column) -> Column:
@@ -597,7 +608,8 @@ def _resources(spark: SparkSession, sf_dir: str):
     """Words and sequences of all documents: what is clean here is invented prose of four languages."""
     docs = _docs(spark, sf_dir)
     # -5.4 and -3.9: mean fits of shifted and of clean prose with this table of sequences
-    return scoring.resources(scoring.build_lexicon(docs, 2), scoring.build_grams(docs), gibberish=-5.4, english=-3.9)
+    build = lambda: scoring.resources(scoring.build_lexicon(docs, 2, one_in=100_000), scoring.build_grams(docs), gibberish=-5.4, english=-3.9)
+    return _once(spark, sf_dir, "resources", build)
 
 
 @query()

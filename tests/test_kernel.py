@@ -6,7 +6,7 @@ import unicodedata
 
 import pytest
 
-from clearspark.kernel import decode, spelling
+from clearspark.kernel import decode, lexicon, spelling
 from clearspark.kernel.engine import Rule, Unmasker, protected
 from clearspark.kernel.lexicon import Resources, letters
 
@@ -46,7 +46,7 @@ ENCODERS = {
     "fullwidth": lambda s: "".join(chr(ord(c) + 0xFEE0) if c != " " else c for c in s),
     "styled-alphabet": lambda s: "".join(unicodedata.lookup(f"MATHEMATICAL BOLD {'CAPITAL' if c.isupper() else 'SMALL'} {c.upper()}") if c.isalpha() else c for c in s),
     "zero-width": lambda s: s.replace("e", "e\u200b"),
-    "caesar": lambda s: s.translate(decode.shift_table(7)),
+    "caesar": lambda s: s.translate(lexicon.back(7)),
 }
 
 
