@@ -329,7 +329,7 @@ def leet_evidence(spark, sf_dir):
 @query()
 def repeated_candidates(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("text", codecs.stretch(F.col("text")))
-    return evidence.stretched(docs, _lexicon(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("accepted").alias("n_accepted"))
+    return evidence.stretched(docs, _lexicon(spark, sf_dir), grams=_grams(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("accepted").alias("n_accepted"))
 
 
 _SAY = "CASE (doc_id % 4) WHEN 0 THEN 'pls call me l8r' WHEN 1 THEN 'c u at 4 pm' WHEN 2 THEN 'the MSG was sent' ELSE 'r u there' END"
@@ -339,9 +339,16 @@ _SAY = "CASE (doc_id % 4) WHEN 0 THEN 'pls call me l8r' WHEN 1 THEN 'c u at 4 pm
  (2, 1, 'MSG', 'message', 'unsure', false), (3, 0, 'r', 'are', 'sure', true), (3, 1, 'u', 'you', 'sure', true))
 SELECT doc_id, ix, token, CASE WHEN token = 'MSG' THEN 'Message' ELSE plain END AS plain, strength, accepted FROM documents, x WHERE doc_id % 4 = k""")
 def shorthand_rewrite(spark, sf_dir):
-    """Shorthand with its context: whole texts, a sentence chosen by doc_id before each."""
+    """Shorthand with its context: whole texts, a sentence chosen by doc_id before each; sure and unsure forms."""
     say = F.expr(_SAY)
-    return evidence.shorthand(_docs(spark, sf_dir).select("doc_id", F.concat_ws("\n", say, "text").alias("text")))
+    return evidence.shorthand(_docs(spark, sf_dir).select("doc_id", F.concat_ws("\n", say, "text").alias("text"))).where("strength <> 'loose'")
+
+
+@query()
+def shorthand_texts(spark, sf_dir):
+    """All grades of short forms in whole texts that the encoder shortened."""
+    found = evidence.shorthand(_docs(spark, sf_dir).withColumn("text", codecs.shorten(F.col("text"))))
+    return found.groupBy("doc_id", "strength").agg(F.count("*").alias("n"), F.count_if("accepted").alias("n_accepted"))
 
 
 @query(f"""WITH {LEX}, x(k, ix, token, plain) AS (VALUES (0, 1, 'recieve', 'receive'), (1, 0, 'Teh', 'the'))
