@@ -25,7 +25,7 @@ MARKS = r"[\x{0300}-\x{036f}\x{0483}-\x{0489}\x{1ab0}-\x{1aff}\x{1dc0}-\x{1dff}\
 #: One look-alike for each plain letter that has one, and an accented form for vowels and some others.
 GLYPHS = {v: k for k, v in reversed(LOOKALIKES.items()) if len(v) == 1 and v not in "lI"}
 ACCENTED = dict(zip("aeiouAEIOUncsz", "ǎĕĭǒŭǍĔĬǑŬňčšž", strict=True))
-LEET = dict(zip("aeost", "43057", strict=True))
+LEET = dict(zip("aeiost", "431057", strict=True))
 
 
 def _style(name: str) -> tuple[str, str]:
@@ -39,7 +39,10 @@ def _style(name: str) -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def pick(key: Column, n: int) -> Column:
+def pick(key: Column | None, n: int, plain: int = 0) -> Column:
+    """A form of n by the key; the plain one without a key."""
+    if key is None:
+        return F.lit(plain)
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
@@ -91,8 +94,9 @@ def fullwidth(text: Column) -> Column:
     return F.when(east, text).otherwise(F.translate(text, WIDE, ASCII))
 
 
-def mark_letters(text: Column) -> Column:
-    return F.regexp_replace(text, "([A-Za-z])", "$1̶")
+def mark_letters(text: Column, key: Column | None = None) -> Column:
+    """A mark on each letter, or a pile of three."""
+    return F.regexp_replace(text, "([A-Za-z])", F.when(pick(key, 2) == 0, "$1\u0336").otherwise("$1\u0336\u0332\u0301"))
 
 
 def combining_marks(text: Column) -> Column:
@@ -116,13 +120,18 @@ def accent_substitution(text: Column) -> Column:
 
 
 def leet(text: Column) -> Column:
-    """Letters inside words to digits: every a e o s t but the first letter of a word."""
+    """Letters inside words to digits: every a e i o s t but the first letter of a word."""
     out = text
-    for letter in "aeost":
-        out = F.regexp_replace(out, rf"(?<=[A-Za-z0-9]){letter}", LEET[letter])
+    for letter, digit in LEET.items():
+        out = F.regexp_replace(out, rf"(?<=[A-Za-z0-9]){letter}", digit)
     return out
 
 
+def unleet(text: Column) -> Column:
+    """Digits to the letters they stand for: the original, if that has none of these digits."""
+    return F.translate(text, "".join(LEET.values()), "".join(LEET))
+
+
 def _by_word(text: Column, change) -> Column:
     parts = F.regexp_extract_all(text, F.lit(r"(?sU)\w+|\W+"), F.lit(0))
     return F.array_join(F.transform(parts, change), "")
@@ -143,6 +152,35 @@ def stretch(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<![A-Za-z])([A-Za-z]*?[b-df-hj-np-tv-z])([aeiou])(?=[b-df-hj-np-tv-z])", "$1$2$2$2")
 
 
+def space_out(text: Column) -> Column:
+    """All characters apart, words by a wider gap."""
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.rtrim(F.regexp_replace(w, "(?s)(.)", "$1 "), F.lit(" "))), "   ")
+
+
+def closed_up(text: Column) -> Column:
+    return F.array_join(F.transform(F.split(text, "   "), lambda w: F.replace(w, F.lit(" "), F.lit(""))), " ")
+
+
+_ROWS = "qwertyuiop asdfghjkl zxcvbnm"
+_NEXT_KEY = (_ROWS.replace(" ", ""), "".join(r[1:] + r[-2] for r in _ROWS.split()))
+
+
+def slip(text: Column, key: Column, one_in: int = 5) -> Column:
+    """A slip of the hand in one of so many words of five small letters and more: two letters swapped, one twice, one left out,
+    or the next key instead of it. Never in the first or last letter; word, place and kind are chosen by the key."""
+
+    def typed(word: Column, i: Column) -> Column:
+        draw = F.xxhash64(key, i, word)
+        at = (F.pmod(F.shiftright(draw, 8), F.length(word) - 2) + 2).cast("int")
+        head, own, rest = F.substring(word, F.lit(1), at - 1), F.substring(word, at, F.lit(1)), F.substring(word, at + 1, F.length(word))
+        kind = F.pmod(F.shiftright(draw, 32), F.lit(5))
+        swapped = F.concat(head, F.substring(rest, F.lit(1), F.lit(1)), own, F.substring(rest, F.lit(2), F.length(word)))
+        other = F.when(kind == 2, F.concat(head, own, own, rest)).when(kind == 3, F.concat(head, rest)).when(kind == 4, F.concat(head, F.translate(own, *_NEXT_KEY), rest))
+        return F.when(word.rlike("^[a-z]{5,}$") & (F.pmod(draw, F.lit(one_in)) == 0), other.otherwise(swapped)).otherwise(word)
+
+    return F.array_join(F.transform(F.split(text, " "), typed), " ")
+
+
 def _listed(text: Column, table: dict[str, str]) -> Column:
     pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     return F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.try_element_at(pairs, F.lower(w)), w)), " ")
@@ -163,8 +201,17 @@ def emojify(text: Column) -> Column:
 # Notations
 
 
-def entities(text: Column) -> Column:
-    return F.regexp_replace(F.hex(F.encode(text, "UTF-32")), "00(.{6})", "&#x$1;")
+def entities(text: Column, key: Column | None = None) -> Column:
+    """Every character as a hexadecimal or a decimal entity; or signs of markup by name and some letters by number."""
+    points = F.regexp_extract_all(F.hex(F.encode(text, "UTF-32")), F.lit(".{8}"), F.lit(0))
+    decimal = F.array_join(F.transform(points, lambda p: F.concat(F.lit("&#"), F.conv(p, 16, 10), F.lit(";"))), "")
+    mixed = F.replace(text, F.lit("&"), F.lit("&amp;"))
+    for sign, new in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("e", "&#101;"), ("n", "&#110;"), ("T", "&#84;")):
+        mixed = F.replace(mixed, F.lit(sign), F.lit(new))
+    form = pick(key, 3, 2)
+    return F.when(form == 0, decimal).when((form == 1) & (mixed != text), mixed).otherwise(
+        F.regexp_replace(F.hex(F.encode(text, "UTF-32")), "00(.{6})", "&#x$1;")
+    )
 
 
 def _strict(parts: Column) -> Column:
@@ -201,16 +248,22 @@ def url_percent(text: Column) -> Column:
     return _strict(F.transform(parts, lambda p: F.when(p.startswith("%") & (F.length(p) > 1), utf8(F.unhex(F.replace(p, F.lit("%"), F.lit(""))))).otherwise(p)))
 
 
-def backslashes(text: Column) -> Column:
-    return F.regexp_replace(F.hex(F.encode(text, "UTF-16BE")), "(.{4})", r"\\u$1")
+def backslashes(text: Column, key: Column | None = None) -> Column:
+    """Four-digit escapes of all characters; of ASCII texts, for every other key, two-digit ones."""
+    short = F.regexp_replace(F.lower(F.hex(F.encode(text, "UTF-8"))), "(..)", r"\\x$1")
+    long = F.regexp_replace(F.hex(F.encode(text, "UTF-16BE")), "(.{4})", r"\\u$1")
+    return F.when(~text.rlike(r"[^\x00-\x7f]") & (pick(key, 2, 1) == 0), short).otherwise(long)
 
 
 def backslash_escape(text: Column) -> Column:
-    """Runs of three and more four-digit escapes; a pair of surrogates is one character."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)(?:\\u[0-9A-Fa-f]{4}){3,}+|\\|[^\\]+"), F.lit(0))
-    return F.array_join(
-        F.transform(parts, lambda p: F.when(p.startswith("\\u"), F.decode(F.unhex(F.replace(p, F.lit("\\u"), F.lit(""))), "UTF-16BE")).otherwise(p)), ""
-    )
+    """Runs of three and more escapes of four digits, where a pair of surrogates is one character, or of two, which are UTF-8."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)(?:\\u[0-9A-Fa-f]{4}){3,}+|(?:\\x[0-9A-Fa-f]{2}){3,}+|\\|[^\\]+"), F.lit(0))
+    digits = lambda p, mark: F.unhex(F.replace(p, F.lit(mark), F.lit("")))
+
+    def decode(p: Column) -> Column:
+        return F.when(p.startswith("\\u"), F.decode(digits(p, "\\u"), "UTF-16BE")).when(p.startswith("\\x"), F.coalesce(utf8(digits(p, "\\x")), p)).otherwise(p)
+
+    return F.array_join(F.transform(parts, decode), "")
 
 
 # Bytes
@@ -224,8 +277,10 @@ def base64(text: Column) -> Column:
     return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"\s", "")
 
 
-def base64url(text: Column) -> Column:
-    return F.rtrim(F.translate(base64(text), "+/", "-_"), F.lit("="))
+def base64url(text: Column, key: Column | None = None) -> Column:
+    """The alphabet of addresses, padded for every other key."""
+    padded = F.translate(base64(text), "+/", "-_")
+    return F.when(pick(key, 2, 1) == 0, padded).otherwise(F.rtrim(padded, F.lit("=")))
 
 
 def base64_text(token: Column) -> Column:
@@ -237,8 +292,11 @@ def base64_text(token: Column) -> Column:
     return F.when(whole, utf8(F.try_to_binary(padded, F.lit("base64"))))
 
 
-def hexes(text: Column) -> Column:
-    return F.lower(F.hex(F.encode(text, "UTF-8")))
+def hexes(text: Column, key: Column | None = None) -> Column:
+    """Two digits a byte: in small letters, in capitals, apart, or apart with 0x."""
+    digits = F.hex(F.encode(text, "UTF-8"))
+    apart = lambda mark: F.rtrim(F.regexp_replace(F.lower(digits), "(..)", f"{mark}$1 "))
+    return F.when(pick(key, 4) == 0, F.lower(digits)).when(pick(key, 4) == 1, digits).when(pick(key, 4) == 2, apart("")).otherwise(apart("0x"))
 
 
 def hex_text(token: Column) -> Column:
@@ -249,12 +307,12 @@ def hex_text(token: Column) -> Column:
 _NIBBLES = [(f"{n:X}", chr(ord("g") + n), f"{n:04b}") for n in range(16)]
 
 
-def bits(text: Column) -> Column:
-    """Eight bits a byte, bytes parted by spaces. Digits go over letters, so that replaced ones are not met again."""
+def bits(text: Column, key: Column | None = None) -> Column:
+    """Eight bits a byte, bytes apart or, for every fourth key, joined. Digits go over letters, so that replaced ones are not met again."""
     out = F.translate(F.hex(F.encode(text, "UTF-8")), "".join(a for a, _, _ in _NIBBLES), "".join(b for _, b, _ in _NIBBLES))
     for _, letter, four in _NIBBLES:
         out = F.replace(out, F.lit(letter), F.lit(four))
-    return F.rtrim(F.regexp_replace(out, "(.{8})", "$1 "))
+    return F.when(pick(key, 4, 1) == 0, out).otherwise(F.rtrim(F.regexp_replace(out, "(.{8})", "$1 ")))
 
 
 def binary(token: Column) -> Column:
@@ -266,9 +324,12 @@ def binary(token: Column) -> Column:
     return F.when(digits.rlike("^[01]+$") & (F.length(digits) % 8 == 0), utf8(F.unhex(out)))
 
 
-def decimals(text: Column) -> Column:
+def decimals(text: Column, key: Column | None = None) -> Column:
+    """A number a byte, parted by a space, a comma, or both."""
     pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
-    return F.array_join(F.transform(pairs, lambda p: F.conv(p, 16, 10)), " ")
+    numbers = F.transform(pairs, lambda p: F.conv(p, 16, 10))
+    between = lambda sign: F.array_join(numbers, sign)
+    return F.when(pick(key, 3) == 0, between(" ")).when(pick(key, 3) == 1, between(", ")).otherwise(between(","))
 
 
 def decimal_codes(token: Column) -> Column:
@@ -324,21 +385,50 @@ CODECS = {
     "accent-substitution": (lambda t, k: accent(t), lambda t, k: accent_substitution(t)),
     "separator": (lambda t, k: separate(t), lambda t, k: joined(t)),
 }
+#: trick -> encoder of (text, key) in all of its forms, which the same decoder undoes
+VARIED = {
+    "html-entity": entities,
+    "backslash-escape": backslashes,
+    "base64url": base64url,
+    "hex": hexes,
+    "binary": bits,
+    "decimal-codes": decimals,
+    "combining-marks": mark_letters,
+}
 #: tricks that lose information; undone by evidence only
 LOSSY = {"leetspeak": leet, "repeated-chars": stretch, "shorthand": shorten, "misspelling": misspell, "emoji-word": emojify}
-#: Layered recipes, outermost first.
-STACKS = (("base64", "base64"), ("rot13", "base64"), ("hex", "base64"), ("base64", "hex"), ("reverse", "base64"), ("base64", "reverse"), ("url-percent", "html-entity"), ("base64", "homoglyph"), ("zero-width", "base64"), ("homoglyph", "accent-substitution"))
+#: Layered recipes, outermost first. Fixed values.
+STACKS = (
+    ("base64", "base64"),
+    ("rot13", "base64"),
+    ("hex", "base64"),
+    ("base64", "hex"),
+    ("reverse", "base64"),
+    ("base64", "reverse"),
+    ("url-percent", "html-entity"),
+    ("base64", "leetspeak"),
+    ("base64", "homoglyph"),
+    ("rot13", "leetspeak"),
+    ("zero-width", "base64"),
+    ("zero-width", "homoglyph"),
+    ("zero-width", "leetspeak"),
+    ("styled-alphabet", "leetspeak"),
+    ("homoglyph", "leetspeak"),
+    ("homoglyph", "accent-substitution"),
+)
+#: Encoder and decoder of each trick in a recipe; digits come back to letters where the text had none of them.
+LAYERS = CODECS | {"leetspeak": (lambda t, k: leet(t), lambda t, k: unleet(t))}
 
 
 def stack(text: Column, key: Column, tricks: tuple[str, ...]) -> Column:
     for t in reversed(tricks):
-        text = CODECS[t][0](text, key)
+        text = LAYERS[t][0](text, key)
     return text
 
 
 def unstack(text: Column, key: Column, tricks: tuple[str, ...]) -> Column:
     for t in tricks:
-        text = CODECS[t][1](text, key)
+        text = LAYERS[t][1](text, key)
     return text
 
 

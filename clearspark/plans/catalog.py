@@ -227,6 +227,7 @@ def trigger_bits(spark, sf_dir):
 
 def _roundtrip(trick: str) -> None:
     encode, decode = codecs.CODECS[trick]
+    encode = codecs.VARIED.get(trick, encode)
     floor = 16 if trick.startswith("base64") else 0  # shorter tokens are not taken for base64
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,13 +243,40 @@ for _trick in codecs.CODECS:
     _roundtrip(_trick)
 
 
-@query(f"SELECT conv_id * 1000 + turn AS doc_id, i - 1 AS recipe, md5(text) AS digest FROM conversations, range(1, {len(codecs.STACKS) + 1}) r(i) WHERE strlen(text) >= 16")
+_LEET_RECIPES = [i for i, s in enumerate(codecs.STACKS) if "leetspeak" in s]
+
+
+@query(f"""SELECT conv_id * 1000 + turn AS doc_id, i AS recipe, md5(text) AS digest FROM conversations, range({len(codecs.STACKS)}) r(i)
+WHERE strlen(text) >= 16 AND NOT (i IN ({", ".join(map(str, _LEET_RECIPES))}) AND regexp_matches(text, '[0-9]'))""")
 def stacked_layers(spark, sf_dir):
-    """Two layers of disguise, undone layer by layer, for every recipe."""
+    """Two layers of disguise, undone layer by layer, for every recipe; texts with digits can't come back from digits for letters."""
     talk = _talk(spark, sf_dir).where(F.octet_length("text") >= 16)
     t, k = F.col("text"), F.col("doc_id")
     each = F.array(*[F.struct(F.lit(i).cast("bigint").alias("recipe"), F.md5(codecs.unstack(codecs.stack(t, k, s), k, s)).alias("digest")) for i, s in enumerate(codecs.STACKS)])
-    return talk.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*")
+    lost = F.col("x.recipe").isin(*_LEET_RECIPES) & F.col("text").rlike("[0-9]")
+    return talk.select("doc_id", "text", F.explode(each).alias("x")).where(~lost).select("doc_id", "x.*")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE NOT regexp_matches(text, '[0-9]')")
+def roundtrip_leetspeak(spark, sf_dir):
+    """Every letter that a digit can stand for, and back, in texts without digits."""
+    docs = _docs(spark, sf_dir).where(~F.col("text").rlike("[0-9]"))
+    return docs.select("doc_id", F.md5(codecs.unleet(codecs.leet(F.col("text")))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def roundtrip_spaced_text(spark, sf_dir):
+    """Texts with all letters apart, closed up again."""
+    return _docs(spark, sf_dir).select("doc_id", F.md5(codecs.closed_up(codecs.space_out(F.col("text")))).alias("digest"))
+
+
+@query("""WITH w AS (SELECT lang, unnest(string_split(text, ' ')) AS w FROM documents) SELECT lang, count(*) AS n_words, count(*) FILTER (regexp_full_match(w, '[a-z]{5,}')) AS n_open FROM w GROUP BY lang""")
+def typing_slips(spark, sf_dir):
+    """Words before and after slips of the hand: none comes or goes, and one open to slips stays one, or is one letter shorter or longer."""
+    docs = _docs(spark, sf_dir).select("lang", F.split("text", " ").alias("a"), F.split(codecs.slip(F.col("text"), F.col("doc_id")), " ").alias("b"))
+    pairs = docs.select("lang", F.explode(F.arrays_zip("a", "b")).alias("w")).select("lang", "w.*")
+    near = F.col("b").rlike("^[a-z]{4,}$") & (F.abs(F.length("a") - F.length("b")) <= 1)
+    return pairs.groupBy("lang").agg(F.count_if(F.col("b").isNotNull()).alias("n_words"), F.count_if(F.col("a").rlike("^[a-z]{5,}$") & near).alias("n_open"))
 
 
 @query("SELECT doc_id, 'free prize inside' AS hidden FROM documents")

@@ -169,3 +169,16 @@ def test_html_paragraphs(spark):
     rows = spark.createDataFrame(list(enumerate([*PAGES, None])), "k int, html string").select("k", sources.html_paragraphs(F.col("html")).alias("p")).collect()
     got = {r.k: r.p for r in rows}
     assert [got[k] for k in range(len(got))] == [*PAGES.values(), None]
+
+
+def test_encoders_have_their_forms(spark):
+    rows = spark.createDataFrame([(k, 'Plain "text" & 100% <more>') for k in range(60)], "k bigint, text string")
+    got = rows.select(*[encode(F.col("text"), F.col("k")).alias(t.replace("-", "_")) for t, encode in codecs.VARIED.items()]).collect()
+    forms = {c: {r[c] for r in got} for c in got[0].asDict()}
+    assert {len(forms[c]) for c in ("html_entity", "decimal_codes")} == {3} and len(forms["hex"]) == 4
+    assert all(len(forms[c]) == 2 for c in ("backslash_escape", "binary", "combining_marks"))
+    assert any(f.startswith("0x50 0x6c") for f in forms["hex"]) and any("&quot;" in f for f in forms["html_entity"])
+    assert codecs.STACKS == tuple(dict.fromkeys(codecs.STACKS)) and len(codecs.STACKS) == 16
+    slips = spark.createDataFrame([(k, "nothing changes small words here today") for k in range(200)], "k bigint, text string").select(codecs.slip(F.col("text"), F.col("k"), 2).alias("t")).collect()
+    words = {w for r in slips for w in r.t.split(" ")}
+    assert {"here"} == {w for r in slips for w in r.t.split(" ")[4:5]} and {"smlal", "smalll", "smll", "today"} & words and all(w[0] in "ncswht" for w in words)
