@@ -72,6 +72,14 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.target_table(_table(spark, sf_dir, "documents"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3(spark, sf_dir).drop("kept", "posterior")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES = {
     "op1_decontaminate": op1,
     "op2_token_counts": op2,
@@ -85,6 +93,8 @@ QUERIES = {
     "op10_mixing": op10,
     # what of an operator SQL can say, by itself
     "mixing_targets": targets,
+    "quality_base": quality_base,
+    "secrets_base": secrets_base,
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +103,6 @@ ORACLES: dict[str, str] = {
     "op7_license_scan": license_scan.oracle(),
     "op8_jaccard_join": jaccard_join.oracle(),
     "mixing_targets": mixing.target_oracle(),
+    "quality_base": quality_rules.base_oracle(),
+    "secrets_base": secrets_scan.base_oracle(),
 }

@@ -184,3 +184,21 @@ def op3(documents: DataFrame) -> DataFrame:
         (F.col("kept") & ~failed).alias("kept"),
         "posterior",
     )
+
+
+def base_oracle(window: int = WINDOW) -> str:
+    """The base columns by definition, in DuckDB."""
+    run = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER s" for k in range(1, window))])
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+lines AS (SELECT key, unnest(string_split(text, chr(10))) AS line FROM docs),
+same AS (SELECT key, line, count(*) - 1 AS more FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY key, line),
+dup AS (SELECT key, sum(more)::BIGINT AS n FROM same GROUP BY key),
+words AS (SELECT key, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM docs),
+runs AS (SELECT key, i, {run} AS win FROM words WINDOW s AS (PARTITION BY key ORDER BY i)),
+twice AS (SELECT key, win FROM runs WHERE win IS NOT NULL GROUP BY key, win HAVING count(*) > 1),
+hit AS (SELECT key, count(DISTINCT place) AS n FROM (SELECT key, unnest(range(i, i + {window})) AS place FROM runs JOIN twice USING (key, win)) GROUP BY key),
+base AS (SELECT key, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM docs)
+SELECT doc_id, n_words, word_chars, n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(hit.n, 0)::BIGINT AS n_repeat_words,
+  n_words < 20 OR 100 * coalesce(hit.n, 0) > 30 * n_words AS base_failed
+FROM base LEFT JOIN dup USING (key) LEFT JOIN hit USING (key)"""

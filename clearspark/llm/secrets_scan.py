@@ -333,3 +333,12 @@ def brute_force(text: str | None) -> tuple[int, int, int, str]:
         found += [(m.start(), k, m.end()) for m in wide.finditer(text) if ok(m)]
     joined = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
     return (*(sum(k == x for _, x, _ in found) for k in range(3)), hashlib.sha256(joined.encode()).hexdigest())
+
+
+def base_oracle() -> str:
+    """The base counts by definition, in DuckDB: matches of each kind, less those that are too short."""
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    words = "|".join(map(either, ("password", "passwd", "secret", "token"))) + f"|{either('api')}_?{either('key')}"
+    assign = f"({words})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    count = lambda pattern, group, least: f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{pattern}', {group}), lambda x: length(x) >= {least}))::BIGINT"
+    return f"SELECT doc_id, {count(assign, 2, 6)} AS n_assign, {count('AKIA[A-Z0-9]+', 0, 20)} AS n_access, {count('[0-9a-f]+', 0, 24)} AS n_hex FROM documents"
