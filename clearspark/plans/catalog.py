@@ -284,12 +284,10 @@ def tag_hidden(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", codecs.tags_hidden(codecs.hide_tags(F.col("text"), "free prize inside")).alias("hidden"))
 
 
-@query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&')) AS digest
-FROM pages WHERE NOT regexp_matches(html, '&(?:#|apos;|amp;(?:lt|gt|quot|nbsp|amp);)')""")
+@query("""SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')) AS digest FROM pages""")
 def entity_basic(spark, sf_dir):
     """The entities of markup itself."""
-    pages = table(spark, sf_dir, "pages").where(~F.col("html").rlike("&(?:#|apos;|amp;(?:lt|gt|quot|nbsp|amp);)"))
-    return pages.select("page_id", F.md5(codecs.html_entity(F.col("html"))).alias("digest"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(codecs.html_entity(F.col("html"))).alias("digest"))
 
 
 @query("SELECT doc_id, length(text) > 0 AND doc_id % 3 <> 1 AS decodes FROM documents")
@@ -533,6 +531,17 @@ def seeded_sample(spark, sf_dir):
     return corpus.seeded_sample(_docs(spark, sf_dir), "doc_id", 100, "20261008").select("doc_id", "source")
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha256('7/' || doc_id), doc_id) AS place FROM documents")
+def shuffled_places(spark, sf_dir):
+    """Documents shuffled by hash, and the place each gets: ranges of the order follow one another, so places need no single task."""
+    rows = corpus.shuffled(_docs(spark, sf_dir).select("doc_id"), "doc_id", "7/").select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    rows = scoring.stored(rows)
+    counts = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a range
+    starts = {p: sum(n for q, n in counts.items() if q < p) for p in counts}
+    before = F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("part"))
+    return rows.select("doc_id", (before + F.col("id").bitwiseAND((1 << 33) - 1) + 1).cast("bigint").alias("place"))
+
+
 @query("SELECT min(doc_id) AS doc_id FROM documents WHERE regexp_replace(lower(text), '[^a-z0-9]', '', 'g') <> '' GROUP BY regexp_replace(lower(text), '[^a-z0-9]', '', 'g')")
 def first_of_duplicates(spark, sf_dir):
     """The first of the texts that differ in capitals, spaces and signs only."""

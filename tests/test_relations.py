@@ -182,3 +182,43 @@ def test_encoders_have_their_forms(spark):
     slips = spark.createDataFrame([(k, "nothing changes small words here today") for k in range(200)], "k bigint, text string").select(codecs.slip(F.col("text"), F.col("k"), 2).alias("t")).collect()
     words = {w for r in slips for w in r.t.split(" ")}
     assert {"here"} == {w for r in slips for w in r.t.split(" ")[4:5]} and {"smlal", "smalll", "smll", "today"} & words and all(w[0] in "ncswht" for w in words)
+
+
+def test_archive_words_and_tables_kept(spark, tmp_path):
+    import io
+    import tarfile
+
+    lists = {"x/final/english-words.10": "the\nThe cat's\ncat\n\n", "x/final/british-words.70": "café\nrare\n", "x/final/english-words.99": "naïve\n", "x/README.10": "no\n", "x/final/english-upper.35": "Paris\r\n"}
+    with tarfile.open(tmp_path / "lists.tar.gz", "w:gz") as archive:
+        for name, text in lists.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(data := text.encode("latin-1"))
+            archive.addfile(info, io.BytesIO(data))
+    words = sources.archive_words(spark, str(tmp_path / "lists.tar.gz"))
+    assert sorted(r.word for r in words.collect()) == ["Paris", "café", "cat", "the"]
+    built = []
+    build = lambda: built.append(1) or words
+    for _ in range(2):
+        assert sources.kept_once(build, spark, str(tmp_path / "words")).count() == 4
+    assert built == [1]
+    rows = spark.range(50).withColumnRenamed("id", "k")
+    order = [r.k for r in corpus.shuffled(rows, "k", "s").collect()]
+    assert sorted(order) == list(range(50)) != order and order == [r.k for r in corpus.shuffled(rows.repartition(7), "k", "s").collect()]
+
+
+def test_command_line(tmp_path, capsys, monkeypatch, spark):
+    from clearspark import cli
+
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    (tmp_path / "w.txt").write_text("\n".join("please send the parcel to old house before end of this week hello world".split()))
+    text = "Please send the parcel to the old house before the end of this week"
+    import base64
+    import io
+    import json
+    import sys
+
+    assert cli.main([base64.b64encode(text.encode()).decode(), "--words", str(tmp_path / "w.txt"), "--json"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got["text"] == text and [s["transform"] for s in got["steps"]] == ["base64"]
+    monkeypatch.setattr(sys, "stdin", io.StringIO("hello world\n"))
+    assert cli.main(["--words", str(tmp_path / "w.txt"), "--level", "aggressive"]) == 0 and capsys.readouterr().out == "hello world\n"
