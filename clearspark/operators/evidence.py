@@ -41,7 +41,7 @@ def leet(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "do
     words beside two. Of a token with more than one 1, readings with all of them alike are tried.
     """
     marked = F.regexp_replace(F.col(text), r"""((?:^|[.!?]\s+|\n\s*)["'“‘(]?)(?=[A-Za-z0-9@$!])""", f"$1{_START}")
-    pattern = rf"(?<![\w@$.,]){_START}?[A-Za-z0-9@$!]+(?:['’][A-Za-z]+)?(?![\w@$])"
+    pattern = rf"(?U)(?<![\w@$.,]){_START}?[A-Za-z0-9@$!]+(?:['’][A-Za-z]+)?(?![\w@$])"
     cut = docs.select(key, F.posexplode(F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))).alias("ix", "found"))
     token = F.col("token")
     cut = cut.select(key, "ix", F.col("found").startswith(_START).alias("first"), F.regexp_replace(F.replace("found", F.lit(_START), F.lit("")), "!+$", "").alias("token"))
@@ -79,7 +79,7 @@ def leet(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "do
 
 def separators(docs: DataFrame, lexicon: DataFrame, sign: str = "_", needed: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, ix, token, plain, strength, accepted for letters joined by the sign."""
-    run = rf"(?<![\w{sign}])[A-Za-z](?:[{sign}][A-Za-z]){{2,}}(?!\w)"
+    run = rf"(?U)(?<![\w{sign}])[A-Za-z](?:[{sign}][A-Za-z]){{2,}}(?!\w)"
     cut = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(run), F.lit(0))).alias("ix", "token"))
     found = known_tokens(cut.withColumn("plain", F.replace("token", F.lit(sign), F.lit(""))), lexicon, "plain")
     shout = F.col("plain") == F.upper("plain")
@@ -99,7 +99,7 @@ def stretched(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str
     Of several known words that of the most usual letters is taken, with `grams`, or the longest. One find alone needs
     five letters; words that stay unknown (`name`) lose their stretches beside two finds.
     """
-    pattern = r"(?<![\w'’])[A-Za-z]+(?:['’][A-Za-z]+)?(?![\w'’])"
+    pattern = r"(?U)(?<![\w'’])[A-Za-z]+(?:['’][A-Za-z]+)?(?![\w'’])"
     cut = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("ix", "token"))
     cut = cut.where(F.col("token").rlike(r"(?i)([a-z])\1{2}") & (F.length("token") > 3))
     # what a token becomes is asked once for all places where it stands
@@ -129,7 +129,7 @@ def shorthand(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     Sure forms are accepted; unsure ones (capitals, numbers) beside a sure one, or capitals and numbers beside each other;
     loose ones (a number before any other word) beside two sure ones.
     """
-    pattern = r"(?<![\w'’@#/.\-])[A-Za-z0-9]+(?![\w'’@/\-])"
+    pattern = r"(?U)(?<![\w'’@#/.\-])[A-Za-z0-9]+(?![\w'’@/\-])"
     shouting = F.col(text).rlike(r"\p{Lu}") & ~F.col(text).rlike(r"\p{Ll}")
     forms = sorted({*tables.SHORTHAND, *tables.SHORTHAND_CAPITALS, *tables.SHORTHAND_BESIDE, *tables.SHORTHAND_NUMBERS})
     cut = docs.select(key, shouting.alias("shouting"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("all"))
@@ -169,7 +169,7 @@ def shorthand(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
 def misspelt(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "doc_id", share: float = 0.7) -> DataFrame:
     """key, ix, token, plain, accepted: listed misspellings that are no words, where enough other words are known."""
-    pattern = r"(?<![\w'’@#/.\-])[A-Za-z]+(?![\w'’@/\-])"
+    pattern = r"(?U)(?<![\w'’@#/.\-])[A-Za-z]+(?![\w'’@/\-])"
     cut = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("ix", "token"))
     found = known_tokens(cut, lexicon).withColumn("plain", F.try_element_at(_map(tables.MISSPELT), F.lower("token"))).withColumn("hit", F.col("plain").isNotNull() & ~F.col("known"))
     other = F.when(~F.col("hit") & (F.length("token") > 1), F.col("known").cast("int"))

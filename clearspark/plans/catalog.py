@@ -456,7 +456,10 @@ def overlap_antijoin(spark, sf_dir):
     return spans.without_overlap(proposed, kept).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query()
+@query("""WITH e AS (SELECT event_id // 20 AS doc_id, value AS weight, (event_id * 13 % 200)::INT AS start, (event_id * 13 % 200)::INT + 15 AS "end" FROM events),
+o AS (SELECT doc_id, list([{'weight': weight, 'start': start, 'end': "end"}] ORDER BY weight DESC, start) AS all_ FROM e GROUP BY doc_id),
+c AS (SELECT doc_id, list_reduce(all_, lambda a, b: CASE WHEN len(list_filter(a, lambda y: y."start" < b[1]."end" AND b[1]."start" < y."end")) > 0 THEN a ELSE a || b END) AS chosen FROM o)
+SELECT doc_id, unnest(chosen, recursive := true) FROM c""")
 def greedy_select(spark, sf_dir):
     """Of each user's spans the heaviest first, none that overlaps a chosen one."""
     e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 20).alias("doc_id"), (F.col("event_id") * 13 % 200).cast("int").alias("start"), "value")
