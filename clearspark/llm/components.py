@@ -35,8 +35,15 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.select("e.*").where("a > b").distinct()
 
 
+def _few(edges: DataFrame) -> DataFrame:
+    """The edges read by fewer tasks, each of which combines over more of them: a root then comes from few tasks to its group."""
+    spark = edges.sparkSession
+    return edges.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 32))
+
+
 def _unsettled(edges: DataFrame) -> int:
     """Vertices that hang under two others, or under one while another hangs under them."""
+    edges = _few(edges)
     ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
         edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down"))
     )
@@ -56,5 +63,5 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         now = scratch.write(_small(half), f"{name}{k}")
         scratch.drop(f"{name}{k - 1}", f"{name}{k}l")
     return now.select(F.col("a").alias("vertex"), F.col("b").alias("root")).unionByName(
-        now.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct()
+        _few(now).select(F.col("b").alias("vertex")).distinct().select("vertex", F.col("vertex").alias("root"))
     )
