@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clearspark.functions import text as T
 from clearspark.kernel import tables
-from clearspark.operators.scoring import fit, known_tokens
+from clearspark.operators.scoring import fit, known_tokens, small, stored
 
 
 def _map(table: dict[str, str]):
@@ -49,7 +49,7 @@ def leet(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "do
     group = lambda p, k: F.regexp_extract("token", p, k)
     cut = cut.where(mixed)
     # what a token is by itself is asked once for all places where it stands
-    graded = cut.select("token").distinct().withColumns({
+    graded = stored(cut.select("token").distinct()).withColumns({
         "unit": group(r"^\d+([A-Za-z]+)$", 1), "name": group(r"^([A-Za-z]+)\d+$", 1), "doubled": token.rlike("^[a-z]{2}(?:33|00)$"),
         "way": F.array(*[F.translate("token", "013457@$!", f"o{one}eastasi") for one in "il"]),
     })
@@ -69,7 +69,7 @@ def leet(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "do
     word = F.when(~F.col("one_known") & F.col("other_known"), F.col("other")).otherwise(F.col("one"))
     letters = F.regexp_replace("token", "[^A-Za-z]", "")
     word = F.when((F.length(letters) > 1) & (letters == F.upper(letters)), F.upper(word)).otherwise(word)
-    graded = tried.select("token", word.alias("word"), strength.alias("strength")).where("strength is not null")
+    graded = small(stored(tried.select("token", word.alias("word"), strength.alias("strength")).where("strength is not null")))
     opening = F.concat(F.upper(F.substring("word", 1, 1)), F.substring("word", 2, 1 << 20))
     found = cut.join(graded, "token").withColumn("plain", F.when(F.col("first") & ~token.rlike("^[A-Za-z]"), opening).otherwise(F.col("word")))
     gated = _gate(found, key)
