@@ -127,9 +127,9 @@ def shorthand(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     """key, ix, token, plain, strength, accepted: listed forms, forms beside certain words, and numbers before them.
 
     Sure forms are accepted; unsure ones (capitals, numbers) beside a sure one, or capitals and numbers beside each other;
-    loose ones (a number before any other word) beside two sure ones.
+    loose ones (a number before any other word) beside two sure ones. A number with decimals is one token, and no form.
     """
-    pattern = r"(?U)(?<![\w'’@#/.\-])[A-Za-z0-9]+(?![\w'’@/\-])"
+    pattern = r"(?U)(?<![\w'’@#/.\-])(?:[0-9]+(?:\.[0-9]+)+|(?![0-9]+\.[0-9])[A-Za-z0-9]+)(?![\w'’@/\-])"
     shouting = F.col(text).rlike(r"\p{Lu}") & ~F.col(text).rlike(r"\p{Ll}")
     forms = sorted({*tables.SHORTHAND, *tables.SHORTHAND_CAPITALS, *tables.SHORTHAND_BESIDE, *tables.SHORTHAND_NUMBERS})
     cut = docs.select(key, shouting.alias("shouting"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("all"))
@@ -148,7 +148,7 @@ def shorthand(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
         met = (F.col("low") == form) & F.arrays_overlap(beside, F.array(*map(F.lit, sorted(words))))
         plain, strength = plain.when(met, full), strength.when(met, "sure")
     cased = F.when(F.col("shouting") & (F.length("token") > 1) & capitals, F.upper(plain)).when(F.col("token").rlike("^[A-Z]"), _capital(plain)).otherwise(plain)
-    other = ~F.col("low").isin(*tables.SHORTHAND_BESIDE) & listed.isNull() & ~F.col("before").rlike("^[0-9]+$")
+    other = ~F.col("low").isin(*tables.SHORTHAND_BESIDE) & listed.isNull() & ~F.col("before").rlike("^[0-9.]+$")
     other = other & ((F.col("after").rlike("[a-z]") & ~F.col("after").rlike("[A-Z]")) | F.col("shouting"))
     counted, number, grade = F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string")
     for form, (full, words) in tables.SHORTHAND_NUMBERS.items():
