@@ -2,11 +2,12 @@
 
 import base64
 import codecs as stdlib
+import random
 import unicodedata
 
 import pytest
 
-from clearspark.kernel import decode, lexicon, spelling
+from clearspark.kernel import decode, engine, lexicon, spelling
 from clearspark.kernel.engine import Rule, Unmasker, protected
 from clearspark.kernel.lexicon import Resources, letters
 
@@ -143,3 +144,31 @@ def test_protected_spans():
 def test_fewest_words(known):
     assert spelling.fewest_words("freemoney", known) == ["free", "money"]
     assert spelling.fewest_words("zzzz", known) is None
+
+
+# work that is not done twice
+
+
+def test_a_text_left_as_it_is_is_searched_once(known):
+    plain = SENTENCES[0]
+    searched = []
+    watch = Rule("watch", lambda text, _: searched.append(text) or [])
+    run = Unmasker(known, "conservative", (watch, *(r for r in engine.RULES if r.name == "base64")))
+    assert run(base64.b64encode(plain.encode()).decode())[0] == plain
+    assert searched.count(plain) == 1
+    assert run("once") == run("once") == ("once", [])
+    assert searched.count("once") == 1
+
+
+def test_spans_overlap_as_pairs_do():
+    rng = random.Random(7)
+    for _ in range(300):
+        spans = sorted((a, a + rng.randint(0, 6)) for a in rng.choices(range(40), k=rng.randint(0, 6)))
+        kept, apart, alone = engine.Spans(spans), engine.Spans(), []
+        for a, b in ((a, a + rng.randint(0, 6)) for a in rng.choices(range(40), k=9)):
+            assert kept.touch(a, b) == any(a < end and start < b for start, end in spans)
+            met = any(a < end and start < b for start, end in alone)
+            assert apart.touch(a, b) == met
+            if not met and a < b:
+                alone.append((a, b))
+                apart.add(a, b)
