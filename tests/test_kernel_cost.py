@@ -44,6 +44,15 @@ def test_no_text_is_searched_twice_by_a_rule(known):
     assert max(asked.values()) == 1
 
 
+def test_a_clean_sentence_is_searched_once_for_all_its_samples(known):
+    asked = Counter()
+    undo = Unmasker(known, "balanced", counted(asked))
+    for text in (TEXT, TEXT.encode().hex(), TEXT):
+        assert undo(text, raise_errors=True)[0] == TEXT
+    found = [n for (name, _, text), n in asked.items() if text == TEXT]
+    assert found and max(found) == 1
+
+
 def test_signs_hide_no_match():
     for text in odd_texts():
         for pattern in (decode._BASE64, decode._ROTATED):
